@@ -47,11 +47,15 @@ class Preview(NamedTuple):
 def counts(catalog: Catalog, anchor: str, rule: Condition, as_of: date | None = None,
            memberships: DataFrame | None = None) -> DataFrame:
     """Size of the audience and of the base, and the share, in one pass."""
-    flagged = flags(catalog, anchor, {"in_segment": rule}, as_of, memberships)
-    sized = flagged.agg(
+    return sized(flags(catalog, anchor, {"in_segment": rule}, as_of, memberships))
+
+
+def sized(flagged: DataFrame) -> DataFrame:
+    """Audience and base size of rows that carry ``in_segment``."""
+    both = flagged.agg(
         F.count(F.when(F.col("in_segment"), 1)).alias("segment_size"),
         F.count(F.lit(1)).alias("base_size"))
-    return sized.withColumn("share", F.when(
+    return both.withColumn("share", F.when(
         F.col("base_size") > 0, F.col("segment_size") / F.col("base_size")).otherwise(0.0))
 
 
