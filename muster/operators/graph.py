@@ -104,8 +104,8 @@ def pagerank(nodes: DataFrame, key: str, pairs: DataFrame, damping: float = DAMP
     """Weighted PageRank ``(node, rank)`` on an undirected graph; unlinked nodes are kept.
 
     Every unlinked node holds the same rank, so the mass they spread is a plain number and
-    only linked nodes take part in the joins. The change since the last round is looked at
-    whenever the lineage is cut.
+    only linked nodes take part in the joins. Stops after ``rounds``, or once the ranks
+    change by less than ``tol`` in total; with ``tol=0`` the change is never computed.
     """
     ids = nodes.select(F.col(key).alias("node"))
     total = ids.count()
@@ -114,24 +114,29 @@ def pagerank(nodes: DataFrame, key: str, pairs: DataFrame, damping: float = DAMP
     graph = Arcs(pairs, per_salt)
     lonely = total - graph.linked
     alone = 1.0 / total
-    state = graph.vertices.withColumns({"rank": F.lit(1.0 / total), "before": F.lit(0.0)})
+    state = graph.vertices.withColumn("rank", F.lit(alone))
     for i in range(1, rounds + 1):
         base = (1 - damping) / total + damping * lonely * alone / total
         share = F.col("rank") * F.col("weight") / F.col("strength")
-        got = graph.send(state.drop("before")).groupBy("dst").agg(F.sum(share).alias("got"))
-        before = state.select(F.col("node").alias("dst"), F.col("rank").alias("before"))
-        fresh = before.join(got, "dst")
-        change_alone, alone = abs(base - alone) * lonely, base
-        state = graph.vertices.join(fresh, F.col("node") == F.col("dst")).select(
-            "node", "strength", "salts", (F.lit(base) + damping * F.col("got")).alias("rank"), "before")
-        if i % ROUNDS_PER_CHECKPOINT == 0 or i == rounds:
-            state = cut_lineage(state)
-            change = state.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0
-            if change + change_alone < tol:
-                break
+        got = graph.send(state).groupBy("dst").agg(F.sum(share).alias("got"))
+        step = graph.vertices.join(got, F.col("node") == F.col("dst")).select(
+            "node", "strength", "salts", (F.lit(base) + damping * F.col("got")).alias("rank"))
+        if tol > 0:
+            # `state` was cut in the round before, so reading it twice costs no rework.
+            before = state.select("node", F.col("rank").alias("before"))
+            step = cut_lineage(step.join(before, "node"))
+            moved = step.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0
+            moved += abs(base - alone) * lonely
+            step = step.drop("before")
+        elif i % ROUNDS_PER_CHECKPOINT == 0:
+            step = cut_lineage(step)
+        state, alone = step, base
+        if tol > 0 and moved < tol:
+            break
+    out = cut_lineage(ids.join(state.select("node", "rank"), "node", "left").select(
+        "node", F.coalesce("rank", F.lit(alone)).alias("rank")))
     graph.close()
-    return ids.join(state.select("node", "rank"), "node", "left").select(
-        "node", F.coalesce("rank", F.lit(alone)).alias("rank"))
+    return out
 
 
 def rank_percentile(df: DataFrame, value: str, key: str, name: str = "influence_score") -> DataFrame:

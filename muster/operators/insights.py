@@ -331,7 +331,8 @@ def neighbour_rows(catalog: Catalog, anchor: str, keys: DataFrame, network_name:
     net, own = catalog.network(network_name), catalog.entity(anchor)
     edges = catalog.tables[net.table]
     if net.direction == "in":
-        edges = edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+        rest = [c for c in edges.columns if c not in ("src", "dst")]
+        edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
     elif net.direction == "both":
         edges = both_directions(edges)
     attributes = [a.source for a in net.attributes]
