@@ -215,7 +215,7 @@ def _build(catalog: Catalog, anchor: str, due: list[Segment], store: MembershipS
     ]
     found = flagged.select(F.col(key).alias("member_key"), F.explode(F.array(*groups)).alias("m"))
     found = found.where(F.col("m").isNotNull()).select("m.segment_id", "member_key", "m.group")
-    written = store.write(anchor, found, [s.segment_id for s in due])
+    written = store.write(anchor, found, [s.segment_id for s in due], state)
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     rows = []
     for s in due:

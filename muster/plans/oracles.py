@@ -590,6 +590,11 @@ def with_recursive(*parts: str, rest: str) -> str:
 
 
 ORACLES["household_components"] = with_recursive(LINKS, HOUSE, rest="SELECT * FROM sized")
+ORACLES["purchase_components"] = with_recursive(BUYERS, """
+reach(node, root) AS (SELECT c_custkey, c_custkey FROM customer
+                      UNION SELECT co2.dst, reach.root FROM reach JOIN co2 ON co2.src = reach.node
+                      WHERE reach.root < co2.dst)""", rest="""
+SELECT node, min(root) AS component FROM reach GROUP BY 1""")
 ORACLES["leave_one_out"] = """
 SELECT c_custkey, c_nationkey, churned, n AS nation_size,
        CASE WHEN n > 1 THEN round_even((k - churned::int) / (n - 1), 3) ELSE 0 END AS churn_rate

@@ -376,7 +376,7 @@ def materialize_chain(spark, folder):
 @query
 def materialize_state(spark, folder):
     store = built(spark, folder, CHAIN_SEGMENTS)
-    state = spark.read.parquet(f"{store.path}/state/*")
+    state = spark.read.parquet(f"{store.path}/state")
     return state.select("segment_id", "anchor", "version", "holdout_pct",
                         F.col("as_of").cast("string").alias("as_of"), "member_count",
                         "target_count", "control_count")

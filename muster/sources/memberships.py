@@ -1,7 +1,7 @@
 """Who belongs to which saved audience, as partitioned Parquet.
 
-Layout: ``members/anchor=…/segment_id=…`` holds ``(member_key, group)``; ``state``
-holds one row of bookkeeping per audience.
+Layout: ``members/anchor=…/segment_id=…`` holds ``(member_key, group)``; ``state`` holds
+one row of bookkeeping per audience.
 """
 
 from __future__ import annotations
@@ -22,42 +22,48 @@ class MembershipStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._schemas: dict[str, str] = {}
 
     def _folder(self, anchor: str) -> str:
         return f"{self.path}/members/anchor={anchor}"
 
-    def write(self, anchor: str, members: DataFrame, segment_ids: Iterable[str]) -> dict[str, Row]:
+    def write(self, anchor: str, members: DataFrame, segment_ids: Iterable[str],
+              built_before: Iterable[str] = ()) -> dict[str, Row]:
         """Replace the given audiences by ``members(segment_id, member_key, group)``.
 
-        Only their partitions are overwritten. Returns the group counts per audience,
-        read back from what was written.
+        Only their partitions are overwritten; one that is empty now is cleared too.
+        Returns the group counts per audience, read back from what was written.
         """
         ids = list(segment_ids)
         for segment_id in ids:
             if not re.fullmatch(r"[A-Za-z0-9_.-]+", segment_id):
                 raise ValueError(f"unsuitable segment id {segment_id!r}")
         folder = self._folder(anchor)
+        key_type = members.schema["member_key"].dataType.simpleString()
+        self._schemas[anchor] = f"member_key {key_type}, group string, segment_id string"
         empty = members.where(F.lit(False)).drop("segment_id")
-        for segment_id in ids:  # clears the old members, also of audiences that are empty now
+        for segment_id in set(ids) & set(built_before):
             empty.write.mode("overwrite").parquet(f"{folder}/segment_id={segment_id}")
-        members.hint("rebalance", "segment_id").write.mode("append").partitionBy(
-            "segment_id").parquet(folder)
+        members.hint("rebalance", "segment_id").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("segment_id").parquet(folder)
         counted = self.read(anchor, ids).groupBy("segment_id").agg(
             F.count(F.lit(1)).alias("members"),
             F.count(F.when(F.col("group") == "control", 1)).alias("control"))
         return {r.segment_id: r for r in counted.collect()}
 
     def read(self, anchor: str, segment_ids: Iterable[str]) -> DataFrame:
-        """``(segment_id, member_key, group)`` of audiences that were built."""
-        folder = self._folder(anchor)
-        paths = [f"{folder}/segment_id={s}" for s in segment_ids]
-        found = self.spark.read.option("basePath", folder).parquet(*paths)
+        """``(segment_id, member_key, group)``: only the partitions of these audiences."""
+        reader = self.spark.read
+        if anchor in self._schemas:
+            reader = reader.schema(self._schemas[anchor])
+        found = reader.parquet(self._folder(anchor))
+        found = found.where(F.col("segment_id").isin(list(segment_ids)))
         return found.select(F.col("segment_id").cast("string"), "member_key", "group")
 
     def state(self) -> dict[str, Row]:
         """Bookkeeping of every audience built so far: one small row each."""
         try:
-            rows = self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/state/*").collect()
+            rows = self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/state").collect()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -65,6 +71,7 @@ class MembershipStore:
         return {r.segment_id: r for r in rows}
 
     def put_state(self, rows: list[tuple[Any, ...]]) -> None:
-        for row in rows:
-            one = self.spark.createDataFrame([row], STATE_SCHEMA)
-            one.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state/{row[0]}")
+        """Replace the bookkeeping of the audiences in ``rows``, leaving the others."""
+        made = self.spark.createDataFrame(rows, STATE_SCHEMA).coalesce(1)
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "segment_id").parquet(f"{self.path}/state")
