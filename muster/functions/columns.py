@@ -116,16 +116,15 @@ def value_position(col: Column, attribute: Attribute) -> Column:
 
 def fnv1a32(col: Column, start: int = FNV_OFFSET) -> Column:
     """FNV-1a of the UTF-8 bytes of ``col``, continuing from ``start``."""
-    octets = F.hex(F.encode(col, "utf-8"))
+    # Read as Latin-1, every byte is one character whose code is the byte.
+    octets = F.split(F.decode(F.encode(col, "utf-8"), "iso-8859-1"), "")
+    first = F.lit(start).cast("bigint")
     value = F.aggregate(
-        F.sequence(F.lit(1), F.octet_length(col)),
-        F.lit(start).cast("bigint"),
-        lambda h, i: (
-            h.bitwiseXOR(F.conv(F.substring(octets, 2 * i - 1, F.lit(2)), 16, 10).cast("bigint"))
-            * F.lit(FNV_PRIME).cast("bigint")
-        ).bitwiseAND(F.lit(FNV_MASK).cast("bigint")),
+        octets, first,
+        lambda h, ch: (h.bitwiseXOR(F.ascii(ch).cast("bigint")) * F.lit(FNV_PRIME).cast("bigint"))
+        .bitwiseAND(F.lit(FNV_MASK).cast("bigint")),
     )
-    return F.when(F.octet_length(col) == 0, F.lit(start).cast("bigint")).otherwise(value)
+    return F.when(F.octet_length(col) == 0, first).otherwise(value)
 
 
 def fnv1a32_text(text: str) -> int:

@@ -260,7 +260,8 @@ def expand(edges: DataFrame, captions: DataFrame, seeds: DataFrame, priority: Ma
             chain = chain.when(F.col("type") == name, rank)
         place = chain.otherwise(99)
     order = [place, F.coalesce("calls", F.lit(0)).desc(), F.col("type"), F.col("dst")]
-    shown = top_per_group(near, ["src"], order, limit)
+    # At most `limit` rows per seed, and used three times below.
+    shown = cut_lineage(top_per_group(near, ["src"], order, limit))
     ends = shown.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
     degrees = both.join(ends, "src", "left_semi").groupBy("src").agg(
         F.count(F.lit(1)).alias("degree"))

@@ -11,9 +11,8 @@ BUYERS = """
 bought AS (SELECT l_partkey, date_trunc('month', l_shipdate) AS month, o_custkey,
                   sum(l_quantity) AS quantity
            FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
-firsts AS (SELECT l_partkey, month, min(o_custkey) AS src, arg_min(quantity, o_custkey) AS fq
-           FROM bought GROUP BY ALL),
-co AS MATERIALIZED (SELECT src, o_custkey AS dst, count(*) AS purchases, sum(quantity + fq) AS quantity
+firsts AS (SELECT l_partkey, month, min(o_custkey) AS src FROM bought GROUP BY ALL),
+co AS MATERIALIZED (SELECT src, o_custkey AS dst, count(*) AS purchases, sum(quantity) AS quantity
        FROM bought JOIN firsts USING (l_partkey, month) WHERE o_custkey <> src GROUP BY ALL),
 co2 AS (SELECT src, dst, purchases, quantity FROM co
         UNION ALL SELECT dst, src, purchases, quantity FROM co)"""
@@ -226,7 +225,7 @@ SELECT c_custkey, {POOR} >= 2 AS poor_friends,
        NOT EXISTS (SELECT 1 FROM ln2 WHERE src = c_custkey) AS alone FROM customer""")
 ORACLES["network_edge_filter"] = with_(BUYERS, LINKS, rest="""
 SELECT c_custkey,
-       (SELECT count(DISTINCT dst) FROM co2 WHERE src = c_custkey AND quantity >= 80) >= 4 AS large_shared,
+       (SELECT count(DISTINCT dst) FROM co2 WHERE src = c_custkey AND quantity >= 40) >= 4 AS large_shared,
        EXISTS (SELECT 1 FROM co2 WHERE src = c_custkey AND purchases > 1) AS close,
        EXISTS (SELECT 1 FROM ln2 WHERE src = c_custkey AND link_type IN ('Household', 'Family')) AS household
 FROM customer""")
@@ -245,7 +244,7 @@ inner_ok AS (SELECT src AS k FROM co2 JOIN customer f ON f.c_custkey = dst WHERE
              GROUP BY 1 HAVING count(DISTINCT dst) >= 2
              UNION SELECT c_custkey FROM customer WHERE c_acctbal > 9800)""", rest="""
 SELECT c_custkey, (SELECT count(DISTINCT dst) FROM co2 JOIN inner_ok ON k = dst
-                   WHERE src = c_custkey AND quantity BETWEEN 40 AND 90) >= 3 AS friends_of_poor
+                   WHERE src = c_custkey AND quantity BETWEEN 10 AND 45) >= 3 AS friends_of_poor
 FROM customer""")
 
 # ---- Boolean composition ----------------------------------------------------------------

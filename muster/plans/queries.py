@@ -248,7 +248,7 @@ flagged("network_count", {
     "alone": network("account_links", op="eq", n=0),
 })
 flagged("network_edge_filter", {
-    "large_shared": network("co_purchase", edge_where=(edge("quantity", "gte", 80),), op="gte", n=4),
+    "large_shared": network("co_purchase", edge_where=(edge("quantity", "gte", 40),), op="gte", n=4),
     "close": network("co_purchase", edge_where=(edge("purchases", "gt", 1),)),
     "household": network("account_links", edge_where=(
         edge("link_type", "in", ["Household", "Family"]),)),
@@ -264,7 +264,7 @@ flagged("network_nested_network", {
     "friends_of_poor": network(
         "co_purchase", any_of(network("co_purchase", attribute("customer.balance", "lt", -500), n=2),
                               attribute("customer.balance", "gt", 9800)),
-        (edge("quantity", "between", [40, 90]),), "gte", 3),
+        (edge("quantity", "between", [10, 45]),), "gte", 3),
 })
 
 # ---- Boolean composition ----------------------------------------------------------------

@@ -42,21 +42,21 @@ def co_purchase(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Edges from the first buyer of a part in a month (smallest key) to its other buyers.
 
     A star per part and month: as many edges as buyers, however popular the part is.
+    ``purchases`` counts the shared part-months, ``quantity`` what the other buyer bought in them.
     """
     group = ["l_partkey", "month"]
-    bought = (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("l_partkey", F.trunc("l_shipdate", "month").alias("month"), "o_custkey")
-        .agg(F.sum("l_quantity").alias("quantity"))
-    )
-    first = bought.groupBy(*group).agg(
-        F.min("o_custkey").alias("src"), F.min_by("quantity", "o_custkey").alias("first_quantity"))
+    bought = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_partkey", F.trunc("l_shipdate", "month").alias("month"), "o_custkey", "l_quantity")
+    # Reduced on the map side, so a hot part costs one row per task here; the join
+    # below has one row per part and month on this side, and AQE splits the other.
+    first = bought.groupBy(*group).agg(F.min("o_custkey").alias("src"))
     return (
         bought.join(first, group)
         .where(F.col("o_custkey") != F.col("src"))
-        .groupBy("src", F.col("o_custkey").alias("dst"))
-        .agg(F.count(F.lit(1)).alias("purchases"),
-             F.sum(F.col("quantity") + F.col("first_quantity")).alias("quantity"))
+        .groupBy("src", F.col("o_custkey").alias("dst"), *group)
+        .agg(F.sum("l_quantity").alias("quantity"))
+        .groupBy("src", "dst")
+        .agg(F.count(F.lit(1)).alias("purchases"), F.sum("quantity").alias("quantity"))
     )
 
 
