@@ -1,4 +1,4 @@
-"""Order-based helpers that keep working when one group or tie is huge."""
+"""Grouping and ordering helpers that keep working when one group or tie is huge."""
 
 from __future__ import annotations
 
@@ -37,3 +37,20 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
     """First ``k`` rows per group; Spark trims each group before the shuffle."""
     window = W.partitionBy(*group).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
+
+
+def aggregate_apart(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    """Aggregate per key, for joining the result back to rows that may have a hot key.
+
+    Grouping by one struct leaves the result partitioned unlike the plain keys. The join then
+    shuffles both sides itself, one row per key on this side, and only joins of that shape
+    are split by AQE where a key of the other side is hot.
+    """
+    grouped = df.groupBy(F.struct(*keys).alias("__keys")).agg(*aggregates)
+    rest = [c for c in grouped.columns if c != "__keys"]
+    return grouped.select(*(F.col(f"__keys.{k}").alias(k) for k in keys), *rest)
+
+
+def distinct_apart(df: DataFrame) -> DataFrame:
+    """Distinct rows, combined on the map side even if ``df`` is partitioned by one column."""
+    return df.select(F.struct("*").alias("__row")).distinct().select("__row.*")

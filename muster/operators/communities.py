@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from muster.functions.ranking import global_row_number
+from muster.functions.ranking import aggregate_apart, global_row_number
 from muster.operators.graph import EDGES_PER_SALT, Arcs
 from muster.session import cut_lineage
 
@@ -59,7 +59,7 @@ def communities(nodes: DataFrame, key: str, pairs: DataFrame, max_size: int = MA
 
 def number_communities(found: DataFrame) -> DataFrame:
     """Replace labels by 1..k in order of each community's smallest node."""
-    first = found.groupBy("label").agg(F.min("node").alias("first"))
+    first = aggregate_apart(found, ["label"], F.min("node").alias("first"))
     numbered = global_row_number(first, [F.col("first")], "community")
     return found.join(numbered.select("label", "community"), "label").select("node", "community")
 
@@ -97,7 +97,8 @@ def _best_split(grouped: DataFrame, pairs: DataFrame, max_size: int, per_salt: i
             placed = step.select(F.col("at").alias("node"), "higher", F.col("higher").alias("label"))
         else:
             placed = answer.join(step, "at").select("node", "higher", "label")
-        sizes = placed.groupBy("higher").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+        sizes = aggregate_apart(
+            placed, ["higher"], F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
         # The smallest member names a community, whatever node its label came from.
         fits = F.col("n") <= max_size
         keep = fits if level else F.lit(True)
@@ -139,7 +140,8 @@ def _move_all(graph: Arcs, state: DataFrame, nodes: int, rounds: int) -> DataFra
 
 def _move(graph: Arcs, state: DataFrame) -> DataFrame:
     """One round of moves. ``want`` marks nodes that would gain by moving."""
-    sums = state.groupBy("c").agg(F.sum("strength").alias("tot"), F.count(F.lit(1)).alias("n"))
+    sums = aggregate_apart(
+        state, ["c"], F.sum("strength").alias("tot"), F.count(F.lit(1)).alias("n"))
     state = state.drop("want").join(sums, "c")
     options = (
         graph.send(state.select("node", "salts", "c", "tot", "n"))

@@ -12,7 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.functions.ranking import global_row_number, top_per_group
+from muster.functions.ranking import aggregate_apart, global_row_number, top_per_group
 from muster.model import Catalog
 from muster.operators.paths import both_directions
 from muster.session import cut_lineage
@@ -174,14 +174,14 @@ def connected_components(nodes: DataFrame, key: str, edges: DataFrame) -> DataFr
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest node around it."""
     both = both_directions(edges.select(F.col("high").alias("src"), F.col("low").alias("dst")))
-    least = both.groupBy("src").agg(F.min(F.least("src", "dst")).alias("low"))
+    least = aggregate_apart(both, ["src"], F.min(F.least("src", "dst")).alias("low"))
     return both.where(F.col("dst") > F.col("src")).join(least, "src").select(
         F.col("dst").alias("high"), "low").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them."""
-    least = edges.groupBy("high").agg(F.min("low").alias("root"))
+    least = aggregate_apart(edges, ["high"], F.min("low").alias("root"))
     moved = edges.join(least, "high").where(F.col("low") != F.col("root")).select(
         F.col("low").alias("high"), F.col("root").alias("low"))
     return moved.union(least.select("high", F.col("root").alias("low"))).distinct()
@@ -195,8 +195,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 def group_size(df: DataFrame, group: str, name: str) -> DataFrame:
     """Add the number of rows sharing ``group``."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias(name))
-    return df.join(sizes, group)
+    return df.join(aggregate_apart(df, [group], F.count(F.lit(1)).alias(name)), group)
 
 
 def leave_one_out_rate(df: DataFrame, group: str, flag: str, size: str, rate: str) -> DataFrame:
@@ -205,7 +204,7 @@ def leave_one_out_rate(df: DataFrame, group: str, flag: str, size: str, rate: st
     3 decimals, half to even; 0 for a row alone in its group.
     """
     own = F.when(F.col(flag), 1).otherwise(0)
-    sums = df.groupBy(group).agg(F.count(F.lit(1)).alias(size), F.sum(own).alias("__flagged"))
+    sums = aggregate_apart(df, [group], F.count(F.lit(1)).alias(size), F.sum(own).alias("__flagged"))
     others = F.col(size) - 1
     share = F.when(others > 0, F.bround((F.col("__flagged") - own) / others, 3)).otherwise(0.0)
     return df.join(sums, group).withColumn(rate, share).drop("__flagged")
@@ -221,12 +220,14 @@ def with_features(df: DataFrame, key: str, features: DataFrame, feature_key: str
 
 def feature_summary(lines: DataFrame, customers: DataFrame) -> DataFrame:
     """Lines, communities, and customers in households of more than one account."""
+    none = F.lit(None).cast("long")
     left = lines.agg(F.count(F.lit(1)).alias("lines"),
                      F.count_distinct("community_id").alias("communities"))
     right = customers.agg(F.count(F.when(F.col("household_size") > 1, 1)).alias(
         "customers_in_households"))
-    one = F.lit(1).alias("__one")
-    return left.select("*", one).join(right.select("*", one), "__one").drop("__one")
+    both = left.withColumn("customers_in_households", none).unionByName(
+        right.withColumns({"lines": none, "communities": none}))
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def node_id(label: str, key: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from muster.functions.columns import NONE_LABEL, value_position, value_text
-from muster.functions.ranking import top_per_group
+from muster.functions.ranking import distinct_apart, top_per_group
 from muster.model import Catalog, RuleError
 from muster.operators.conditions import AttributeIs, Condition, Group, direct_fields, walk
 from muster.operators.evaluate import Scope, flags
@@ -117,11 +117,10 @@ def _spread(catalog: Catalog, anchor: str, rule: Condition, field: str, as_of: d
     entity, attribute = catalog.resolve(field)
     scope, flag = _opened(catalog, anchor, rule, as_of, memberships, flagged)
     prefix, rest = split_path(catalog.path(anchor, entity.name))
-    link, present = scope.link(prefix, rest[0].left)
+    link = scope.link(prefix, rest[0].left)
     text = F.coalesce(value_text(F.col(attribute.source), attribute), F.lit(NONE_LABEL))
     values = roll_up(catalog, rest, [], by={"value": text})
-    at = F.col(link) if present is None else F.when(present.isNotNull(), F.col(link))
-    anchors = scope.table().select(flag, at.alias("__at"))
+    anchors = scope.table().select(flag, F.col(link).alias("__at"))
     rows = anchors.join(values, F.col("__at") == F.col("__link"), "left")
     rows = rows.select("in_segment", F.lit(field).alias("field"),
                        F.coalesce("value", F.lit(NONE_LABEL)).alias("value"))
@@ -211,9 +210,8 @@ def trend(catalog: Catalog, anchor: str, metric: str, rule: Condition, months: i
     value = F.lit(1) if m.aggregate == "count" else F.col(m.column)
     prefix, rest = split_path(path)
     monthly = roll_up(catalog, rest, [State("v", value, F.sum)], by={"month": month}, where=wanted)
-    link, present = scope.link(prefix, rest[0].left)
-    at = F.col(link) if present is None else F.when(present.isNotNull(), F.col(link))
-    rows = scope.table().select(flag, at.alias("__at")).join(
+    link = scope.link(prefix, rest[0].left)
+    rows = scope.table().select(flag, F.col(link).alias("__at")).join(
         monthly, F.col("__at") == F.col("__link"))
     v, inside = F.coalesce("v", F.lit(0)), F.col("in_segment")
     return (
@@ -318,7 +316,7 @@ def related_rows(catalog: Catalog, anchor: str, keys: DataFrame, entity_name: st
             rows = rows.select("__key", F.col(f"__{kept[0]}").alias("__at"))
     rows = rows.select("__key", *(F.col(f"__{c}").alias(c) for c in shown))
     if may_repeat(hops) or not entity.key:
-        rows = rows.distinct()
+        rows = distinct_apart(rows)
     dated = next((a.source for a in entity.attributes if a.type == "date"), None)
     order = [F.col(dated).desc_nulls_last()] if dated else []
     order += [F.col(entity.key)] if entity.key else [F.col(c) for c in shown if c != dated]

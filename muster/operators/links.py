@@ -11,6 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from muster.functions.ranking import aggregate_apart
+
 # Fixed value: how a link made by a user is marked.
 USER = "user"
 
@@ -53,12 +55,10 @@ def link(links: DataFrame, pairs: DataFrame, accounts: DataFrame, key: str,
     Self links, unknown types and unknown accounts come back with a reason.
     """
     checked = _checked(pairs, accounts, key, types)
-    fresh = (
-        _ends(checked.where(F.col("reason").isNull()))
-        .groupBy("__low", "__high")
-        .agg(F.min_by(F.struct("a", "b"), "seq").alias("__first"),
-             F.max_by("link_type", "seq").alias("__type"))
-    )
+    fresh = aggregate_apart(
+        _ends(checked.where(F.col("reason").isNull())), ["__low", "__high"],
+        F.min_by(F.struct("a", "b"), "seq").alias("__first"),
+        F.max_by("link_type", "seq").alias("__type"))
     old = _ends(links, "src", "dst").withColumnsRenamed({"__low": "__l", "__high": "__h"})
     merged = old.join(fresh, (F.col("__l") == F.col("__low")) & (F.col("__h") == F.col("__high")),
                       "full_outer")
@@ -115,12 +115,12 @@ def apply_link_log(links: DataFrame, ops: DataFrame) -> DataFrame:
     """
     logged = _ends(ops)
     ends = ["__low", "__high"]
-    cleared = logged.where(F.col("action") == "unlink").groupBy(*ends).agg(
-        F.max("seq").alias("__cleared"))
+    cleared = aggregate_apart(logged.where(F.col("action") == "unlink"), ends,
+                              F.max("seq").alias("__cleared"))
     after = logged.where(F.col("action") == "link").join(cleared, ends, "left").where(
         F.col("__cleared").isNull() | (F.col("seq") > F.col("__cleared")))
-    fresh = after.groupBy(*ends).agg(
-        F.min_by(F.struct("a", "b"), "seq").alias("__first"),
+    fresh = aggregate_apart(
+        after, ends, F.min_by(F.struct("a", "b"), "seq").alias("__first"),
         F.max_by("link_type", "seq").alias("__type"))
     kept = _ends(links, "src", "dst").join(cleared, ends, "left_anti")
     merged = kept.join(fresh, ends, "full_outer")

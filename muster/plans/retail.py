@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from muster.functions.ranking import aggregate_apart
 from muster.model import Anchor, Attribute, Catalog, Entity, Hop, Kpi, Metric, Network
 from muster.sources.tables import as_of_date, read_tables
 
@@ -49,12 +50,11 @@ def co_purchase(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         "l_partkey", F.trunc("l_shipdate", "month").alias("month"), "o_custkey", "l_quantity")
     # Reduced on the map side, so a hot part costs one row per task here; the join
     # below has one row per part and month on this side, and AQE splits the other.
-    first = bought.groupBy(*group).agg(F.min("o_custkey").alias("src"))
+    first = aggregate_apart(bought, group, F.min("o_custkey").alias("src"))
+    shared = bought.join(first, group).where(F.col("o_custkey") != F.col("src")).select(
+        "src", F.col("o_custkey").alias("dst"), *group, "l_quantity")
     return (
-        bought.join(first, group)
-        .where(F.col("o_custkey") != F.col("src"))
-        .groupBy("src", F.col("o_custkey").alias("dst"), *group)
-        .agg(F.sum("l_quantity").alias("quantity"))
+        aggregate_apart(shared, ["src", "dst", *group], F.sum("l_quantity").alias("quantity"))
         .groupBy("src", "dst")
         .agg(F.count(F.lit(1)).alias("purchases"), F.sum("quantity").alias("quantity"))
     )
@@ -65,7 +65,7 @@ def account_links(customer: DataFrame) -> DataFrame:
     group = ["c_nationkey", "c_mktsegment", "band"]
     banded = customer.select("c_custkey", "c_nationkey", "c_mktsegment",
                              F.floor(F.col("c_acctbal") / 500).alias("band"))
-    first = banded.groupBy(*group).agg(F.min("c_custkey").alias("src"))
+    first = aggregate_apart(banded, group, F.min("c_custkey").alias("src"))
     kind = F.element_at(F.array(*[F.lit(k) for k in LINK_TYPES]),
                         ((F.col("src") + F.col("dst")) % 4).cast("int") + 1)
     return (

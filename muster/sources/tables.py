@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from muster.functions.ranking import aggregate_apart, distinct_apart
+
 
 def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
@@ -69,8 +71,8 @@ def load_edges(edges: DataFrame, sources: DataFrame, source_key: str, targets: D
     known = known.join(targets.select(F.col(target_key).alias("dst")), "dst", "left_semi")
     rest = [c for c in edges.columns if c not in ("src", "dst", order)]
     if not rest:
-        return known.select("src", "dst").distinct()
+        return distinct_apart(known.select("src", "dst"))
     whole = F.struct(*rest)
     pick = F.max_by(whole, F.struct(F.col(order), whole)) if order else F.max(whole)
-    return known.groupBy("src", "dst").agg(pick.alias("__row")).select(
+    return aggregate_apart(known, ["src", "dst"], pick.alias("__row")).select(
         "src", "dst", *(f"__row.{c}" for c in rest))
