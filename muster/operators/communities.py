@@ -21,7 +21,7 @@ MAX_SIZE = 40
 MAX_DEPTH = 6
 
 # When to stop looking for better moves.
-FIRST_ROUNDS, LATER_ROUNDS = 8, 4
+FIRST_ROUNDS, LATER_ROUNDS = 6, 3
 SETTLED = 0.01
 MERGED = 0.9
 LEVELS = 4

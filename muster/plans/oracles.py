@@ -247,6 +247,22 @@ SELECT c_custkey, (SELECT count(DISTINCT dst) FROM co2 JOIN inner_ok ON k = dst
                    WHERE src = c_custkey AND quantity BETWEEN 10 AND 45) >= 3 AS friends_of_poor
 FROM customer""")
 
+ORACLES["path_both_ways"] = with_(LINKS, """
+near AS (SELECT ln2.src AS k, f.c_custkey AS f, f.c_acctbal AS balance, f.c_mktsegment AS market
+         FROM ln2 JOIN customer f ON f.c_custkey = ln2.dst)""", rest="""
+SELECT c_custkey, EXISTS (SELECT 1 FROM near WHERE k = c_custkey AND balance > 9000) AS rich_relative,
+       (SELECT count(DISTINCT f) FROM near WHERE k = c_custkey AND market = 'BUILDING') >= 2 AS two_in_building,
+       coalesce((SELECT sum(balance) FROM near WHERE k = c_custkey), 0) > 10000 AS family_wealth
+FROM customer""")
+ORACLES["network_directions"] = with_(BUYERS, rest="""
+SELECT c_custkey, (SELECT count(DISTINCT dst) FROM co WHERE src = c_custkey) >= 6 AS leads_six,
+       (SELECT count(DISTINCT src) FROM co WHERE dst = c_custkey) >= 6 AS follows_six,
+       EXISTS (SELECT 1 FROM co JOIN customer f ON f.c_custkey = co.dst
+               WHERE co.src = customer.c_custkey AND f.c_acctbal < 0) AS leads_poor,
+       EXISTS (SELECT 1 FROM co JOIN customer f ON f.c_custkey = co.src
+               WHERE co.dst = customer.c_custkey AND f.c_acctbal < 0) AS follows_poor
+FROM customer""")
+
 # ---- Boolean composition ----------------------------------------------------------------
 EITHER = ("(c_mktsegment = 'BUILDING' OR "
           "(SELECT count(*) FROM orders WHERE o_custkey = c_custkey) > 12)")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.functions.columns import bucket, fnv1a32, value_text
-from muster.model import Attribute, Catalog
+from muster.model import Attribute, Catalog, Entity, Hop, Metric
 from muster.operators import derived, graph, insights, links, segments
 from muster.operators.communities import communities
 from muster.operators.conditions import (
@@ -267,6 +268,35 @@ flagged("network_nested_network", {
         (edge("quantity", "between", [10, 45]),), "gte", 3),
 })
 
+
+@query
+def path_both_ways(spark, folder):
+    """An entity behind an edge list read in either direction: linked accounts."""
+    c = load(spark, folder)
+    relative = Entity("relative", "customer", "c_custkey", (
+        Attribute("balance", "number", "c_acctbal"), Attribute("market", "enum", "c_mktsegment")), {
+        "customer": (Hop("account_links", "c_custkey", "src", many=True, both_ways=True),
+                     Hop("customer", "dst", "c_custkey"))})
+    wealth = Metric("relatives_balance", "relative", "sum", "c_acctbal")
+    wide = replace(c, entities=(*c.entities, relative), metrics=(*c.metrics, wealth))
+    return flags(wide, "customer", {
+        "rich_relative": attribute("relative.balance", "gt", 9000),
+        "two_in_building": related("relative", attribute("relative.market", "eq", "BUILDING"), n=2),
+        "family_wealth": metric("relatives_balance", "gt", 10000)})
+
+
+@query
+def network_directions(spark, folder):
+    """The same edges followed only forwards or only backwards."""
+    c = load(spark, folder)
+    made = [replace(c.network("co_purchase"), name=d, direction=d) for d in ("out", "in")]
+    wide = replace(c, networks=tuple(made), link_network="")
+    return flags(wide, "customer", {
+        "leads_six": network("out", op="gte", n=6), "follows_six": network("in", op="gte", n=6),
+        "leads_poor": network("out", attribute("customer.balance", "lt", 0)),
+        "follows_poor": network("in", attribute("customer.balance", "lt", 0))})
+
+
 # ---- Boolean composition ----------------------------------------------------------------
 flagged("bool_or_not", {
     "either": any_of(attribute("customer.market", "eq", "BUILDING"), metric("order_count", "gt", 12)),
@@ -601,6 +631,17 @@ def communities_of_buyers(spark, folder):
     return communities(c.tables["customer"], "c_custkey", purchase_pairs(c))
 
 
+@query
+def community_stats(spark, folder):
+    """Per buyer: community, its size, and the churn rate of its other members."""
+    c = load(spark, folder)
+    found = communities(c.tables["customer"], "c_custkey", purchase_pairs(c))
+    churned = c.tables["customer"].select("c_custkey", (F.col("c_acctbal") < 0).alias("churned"))
+    rows = graph.with_features(churned, "c_custkey", found, "node")
+    return graph.leave_one_out_rate(rows, "community", "churned", "community_size",
+                                    "community_churn_rate")
+
+
 def typed_edges(c: Catalog) -> DataFrame:
     """All relationships as ``(type, src, dst, calls)`` between ``Label:key`` ids."""
     t, calls = c.tables, F.lit(None).cast("double").alias("calls")
