@@ -104,6 +104,7 @@ def members(catalog: Catalog, segment: Segment, store: MembershipStore | None =
     if built is None:
         found = live(catalog, segment, store, state)
     else:
+        store.declare(segment.anchor, _key_type(catalog, segment.anchor))
         found = store.read(segment.anchor, [segment.segment_id])
         known_group = F.coalesce("group", F.lit("target"))
         if group is not None:
@@ -191,16 +192,21 @@ def materialize_all(catalog: Catalog, segments: Sequence[Segment], store: Member
     that anchor, so they also share its lookups and keyed tables.
     """
     state, always = store.state(), set(always)
+    known = {s.segment_id for s in segments} | set(state)
+    for s in segments:
+        for dep in s.depends_on:
+            if dep not in known:
+                raise RuleError(f"{s.segment_id} refers to {dep}, which does not exist")
     for step in build_order(segments):
         due = [s for s in step if s.segment_id in always or is_stale(s, state)]
         for anchor in sorted({s.anchor for s in due}):
-            _build(catalog, anchor, [s for s in due if s.anchor == anchor], store, state, as_of)
-            state = store.state()
+            mine = [s for s in due if s.anchor == anchor]
+            state = {**state, **_build(catalog, anchor, mine, store, state, as_of)}
     return state
 
 
 def _build(catalog: Catalog, anchor: str, due: list[Segment], store: MembershipStore,
-           state: dict, as_of: date | None) -> None:
+           state: dict, as_of: date | None) -> dict:
     memberships = _memberships(
         catalog, anchor, store, {d for s in due for d in s.depends_on}, state)
     key = catalog.entity(anchor).key
@@ -223,7 +229,7 @@ def _build(catalog: Catalog, anchor: str, due: list[Segment], store: MembershipS
         n, held = (row.members, row.control) if row else (0, 0)
         rows.append((s.segment_id, anchor, s.version, float(s.holdout_pct),
                      as_of or catalog.as_of, now, n, n - held, held))
-    store.put_state(rows)
+    return store.put_state(rows)
 
 
 def _memberships(catalog: Catalog, anchor: str, store: MembershipStore | None,
@@ -237,9 +243,15 @@ def _memberships(catalog: Catalog, anchor: str, store: MembershipStore | None,
             raise RuleError(f"segment {i!r} selects {state[i].anchor} rows, not {anchor}")
     built = [i for i in ids if i in state]
     if store and built:
+        store.declare(anchor, _key_type(catalog, anchor))
         return store.read(anchor, built)
     base = catalog.tables[catalog.entity(anchor).table]
     none = base.where(F.lit(False))
     return none.select(F.lit("").alias("segment_id"),
                        F.col(catalog.entity(anchor).key).alias("member_key"),
                        F.lit("target").alias("group"))
+
+
+def _key_type(catalog: Catalog, anchor: str) -> str:
+    entity = catalog.entity(anchor)
+    return catalog.tables[entity.table].schema[entity.key].dataType.simpleString()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 STATE_SCHEMA = ("segment_id string, anchor string, version int, holdout_pct double, as_of date, "
                 "built_at timestamp, member_count long, target_count long, control_count long")
+STATE_COLUMNS = [part.split()[0] for part in STATE_SCHEMA.split(", ")]
 
 
 class MembershipStore:
@@ -27,6 +28,10 @@ class MembershipStore:
     def _folder(self, anchor: str) -> str:
         return f"{self.path}/members/anchor={anchor}"
 
+    def declare(self, anchor: str, key_type: str) -> None:
+        """Name the key type of an anchor, so that reading needs no look at the files."""
+        self._schemas[anchor] = f"member_key {key_type}, group string, segment_id string"
+
     def write(self, anchor: str, members: DataFrame, segment_ids: Iterable[str],
               built_before: Iterable[str] = ()) -> dict[str, Row]:
         """Replace the given audiences by ``members(segment_id, member_key, group)``.
@@ -39,8 +44,7 @@ class MembershipStore:
             if not re.fullmatch(r"[A-Za-z0-9_.-]+", segment_id):
                 raise ValueError(f"unsuitable segment id {segment_id!r}")
         folder = self._folder(anchor)
-        key_type = members.schema["member_key"].dataType.simpleString()
-        self._schemas[anchor] = f"member_key {key_type}, group string, segment_id string"
+        self.declare(anchor, members.schema["member_key"].dataType.simpleString())
         empty = members.where(F.lit(False)).drop("segment_id")
         for segment_id in set(ids) & set(built_before):
             empty.write.mode("overwrite").parquet(f"{folder}/segment_id={segment_id}")
@@ -63,15 +67,18 @@ class MembershipStore:
     def state(self) -> dict[str, Row]:
         """Bookkeeping of every audience built so far: one small row each."""
         try:
-            rows = self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/state").collect()
+            rows = self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/state").select(
+                *STATE_COLUMNS).collect()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return {}
         return {r.segment_id: r for r in rows}
 
-    def put_state(self, rows: list[tuple[Any, ...]]) -> None:
+    def put_state(self, rows: list[tuple[Any, ...]]) -> dict[str, Row]:
         """Replace the bookkeeping of the audiences in ``rows``, leaving the others."""
         made = self.spark.createDataFrame(rows, STATE_SCHEMA).coalesce(1)
         made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "segment_id").parquet(f"{self.path}/state")
+        kept = Row(*STATE_COLUMNS)
+        return {row[0]: kept(*row) for row in rows}

@@ -127,6 +127,22 @@ def test_a_reopened_store_reads_the_same(spark, retail, store):
     assert reopened.state() == store.state()
 
 
+def test_empty_audiences_survive_reopening(spark, retail, store):
+    nobody = Segment("none", "customer", attribute("customer.balance", "gt", 10 ** 9), 10)
+    segments.materialize_all(retail, [nobody], store)
+    reopened = MembershipStore(spark, store.path)
+    assert segments.members(retail, nobody, reopened, ["customer.key"]).collect() == []
+    user = Segment("user", "customer", ~in_segment("none"))
+    state = segments.materialize(retail, user, reopened)
+    assert state["user"].member_count == retail.tables["customer"].count()
+    assert state == reopened.state()
+
+
+def test_unknown_dependencies_are_refused(retail, store):
+    with pytest.raises(RuleError):
+        segments.materialize_all(retail, [Segment("u", "customer", in_segment("unheard"))], store)
+
+
 def test_cycles_are_refused(retail, store):
     loop = [Segment("p", "customer", in_segment("q")), Segment("q", "customer", in_segment("p"))]
     with pytest.raises(RuleError):
