@@ -73,7 +73,8 @@ class Arcs:
             self._both.groupBy(F.col("src").alias("node"))
             .agg(F.sum("weight").alias("strength"),
                  F.ceil(F.count(F.lit(1)) / per_salt).cast("int").alias("salts"))
-            .repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
+            .repartition(parts, "node").sortWithinPartitions("node")
+            .persist(StorageLevel.MEMORY_AND_DISK)
         )
         busiest, self.linked = self.vertices.agg(
             F.coalesce(F.max("salts"), F.lit(1)), F.count(F.lit(1))).first()
@@ -82,9 +83,11 @@ class Arcs:
             salts = self.vertices.select(F.col("node").alias("src"), "salts")
             arcs = self._both.join(salts, "src").select(
                 "src", F.pmod(F.xxhash64("dst"), "salts").cast("int").alias("salt"), "dst", "weight")
-            self.arcs = arcs.repartition(parts, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+            arcs = arcs.repartition(parts, "src", "salt").sortWithinPartitions("src", "salt")
         else:
-            self.arcs = self._both.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+            arcs = self._both.repartition(parts, "src").sortWithinPartitions("src")
+        # Joins of every round find the edges partitioned and sorted already.
+        self.arcs = arcs.persist(StorageLevel.MEMORY_AND_DISK)
 
     def send(self, state: DataFrame) -> DataFrame:
         """Join per-node ``state(node, …, salts)`` with the node's edges."""
