@@ -7,7 +7,9 @@ import duckdb
 import pytest
 from conftest import DATA
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from muster.plans.oracles import ORACLES
+from muster.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -29,18 +31,18 @@ def table(names, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if n in oracle_sql()])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
 def test_query_equals_sql(spark, sql, name):
-    df = queries()[name](spark, DATA)
-    result = sql.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, DATA)
+    result = sql.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)
     assert table(df.columns, [tuple(r) for r in df.collect()]) == table(columns, result.fetchall())
 
 
 def test_only_communities_have_no_oracle():
-    assert set(queries()) - set(oracle_sql()) == {"communities_of_buyers", "community_stats"}
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == {"communities_of_buyers", "community_stats"}
+    assert set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):
