@@ -73,7 +73,8 @@ def fingerprints(docs: DataFrame, text: str, *columns: str | Column) -> DataFram
 def _popcounts(fp: Column) -> Column:
     """Bit counts of the sixteen 4-bit segments, one per hexadecimal digit of the result."""
     fives, threes = F.lit(0x5555555555555555), F.lit(0x3333333333333333)
-    pairs = F.col("fp").bitwiseAND(fives) + F.shiftrightunsigned(fp, 1).bitwiseAND(fives)
+    even, odd = fp.bitwiseAND(fives), F.shiftrightunsigned(fp, 1).bitwiseAND(fives)
+    pairs = even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))  # their sum, digit by digit
     return pairs.bitwiseAND(threes) + F.shiftrightunsigned(pairs, 2).bitwiseAND(threes)
 
 
@@ -134,7 +135,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     chosen = labelled(marked).where(F.col("__key") == F.col("component_id")).groupBy(
         F.col("__key.row").alias("__row"), F.col("__key.id").alias("__id")).agg(F.count(F.lit(1)).alias("__copies"))
     chosen = cut_lineage(chosen)
-    kept = docs.withColumn("__row", row).join(
-        chosen, (F.col("__row") == chosen["__row"]) & F.col(key).eqNullSafe(chosen["__id"]))
-    single = kept.where("__copies = 1").select(*[docs[c] for c in docs.columns])
-    return single.union(kept.where("__copies > 1").select(*[docs[c] for c in docs.columns]).distinct())
+    kept = docs.withColumn("__hash", row).join(chosen, (F.col("__hash") == F.col("__row"))
+                                               & F.col(key).eqNullSafe(F.col("__id")))
+    once = kept.where("__copies = 1").select(*docs.columns)
+    return once.union(kept.where("__copies > 1").select(*docs.columns).distinct())

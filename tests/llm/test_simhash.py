@@ -76,7 +76,7 @@ def test_links_of_crowded_and_sparse_grid_points(spark, monkeypatch, below):
 def test_one_of_each_stays(spark):
     rows = [(3, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "A b c d "), (9, "other words here now"),
             (None, "lonely words are these"), (None, None), (8, ""), (4, "A B C D")]
-    docs = spark.createDataFrame([(k, t, i % 2) for i, (k, t) in enumerate(rows)], "doc_id long, text string, row int")
+    docs = spark.createDataFrame([(k, t, i % 2) for i, (k, t) in enumerate(rows)], "doc_id long, text string, mark int")
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 8, 9, None]
