@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from muster.llm import pieces, quality_rules, repeats, simhash
+from muster.llm import benchmark, pieces, quality_rules, repeats, simhash
 from muster.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.tokenize(docs, PIECE_MODEL, with_ids=False)
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return benchmark.mark(docs, table(spark, folder, "benchmark")).select("doc_id", *benchmark.RESULTS)
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -35,6 +40,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
