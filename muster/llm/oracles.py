@@ -56,7 +56,41 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
+_OP2 = """
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT i, 0, i::UBIGINT FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END
+  FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+d AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 16)::BIGINT AS size, row_number() OVER () AS r,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                                        lambda h: ('0x' || h)::UBIGINT),
+                         lambda c, x: xor(c // 256, t[(xor(c, x) % 256)::INT + 1]), 4294967295::UBIGINT),
+             4294967295::UBIGINT)::BIGINT AS text_crc32 FROM documents, crc_table),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32, r ROWS UNBOUNDED PRECEDING) AS upto,
+             sum(size) OVER () AS total FROM d),
+c AS (SELECT *, least(39, ((2 * upto - size) * 40) // (2 * total))::INTEGER AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32, r) - 1)::BIGINT AS slot,
+       NULL::INTEGER AS grown_shard FROM c
+"""
+
+_OP7 = r"""
+WITH rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                               ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+u AS (SELECT row_number() OVER () AS r, page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
+x AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                   'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+best AS (SELECT r, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v FROM x, rules
+         WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM x LEFT JOIN best USING (r)
+"""
+
 LLM_ORACLES: dict[str, str] = {
+    "op2_shards": _OP2,
     "op3_decontaminate": _OP3,
+    "op7_url_filter": _OP7,
     "op10_quality_rules": _OP10,
 }

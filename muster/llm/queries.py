@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from muster.llm import benchmark, pieces, quality_rules, repeats, simhash
+from muster.llm import benchmark, pieces, quality_rules, repeats, shards, simhash, urls
 from muster.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.tokenize(docs, PIECE_MODEL, with_ids=False)
 
 
+def op2_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.shard_by_bytes(table(spark, folder, "documents"), 40)
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return benchmark.mark(docs, table(spark, folder, "benchmark")).select("doc_id", *benchmark.RESULTS)
@@ -33,6 +37,16 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+#: (host, path, verdict); a rule's name is the two laid end to end.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
+             ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, folder, "documents"))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
@@ -40,8 +54,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_shards": op2_shards,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_url_filter": op7_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
