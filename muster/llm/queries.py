@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from muster.llm import benchmark, pieces, quality_rules, repeats, shards, simhash, urls
+from muster.llm import benchmark, licences, pieces, quality_rules, repeats, shards, simhash, urls
 from muster.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
+
+
 #: (host, path, verdict); a rule's name is the two laid end to end.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
              ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -58,6 +62,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_url_filter": op7_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
