@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from muster.llm import benchmark, licences, pieces, quality_rules, repeats, shards, simhash, urls
+from muster.llm import benchmark, licences, main_text, pieces, quality_rules, repeats, shards, simhash, urls
 from muster.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract_text(table(spark, folder, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, folder, "documents"))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
@@ -64,5 +68,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_url_filter": op7_url_filter,
+    "op8_html_text": op8_html_text,
     "op10_quality_rules": op10_quality_rules,
 }
