@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from muster.llm import benchmark, licences, main_text, pieces, quality_rules, repeats, shards, simhash, urls
+from muster.llm import additive, benchmark, licences, main_text, pieces, quality_rules, repeats, shards, simhash, urls
 from muster.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.extract_text(table(spark, folder, "pages"))
 
 
+def op9_quality_score(spark: SparkSession, folder: str) -> DataFrame:
+    return additive.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, folder, "documents"))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
@@ -69,5 +73,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": op6_license_scan,
     "op7_url_filter": op7_url_filter,
     "op8_html_text": op8_html_text,
+    "op9_quality_score": op9_quality_score,
     "op10_quality_rules": op10_quality_rules,
 }
