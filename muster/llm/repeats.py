@@ -232,11 +232,11 @@ def _settle(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = aggregate_apart(
         entries, ["bucket"], F.sum("n").alias("members"),
         (F.min("same") != F.max("same")).alias("mixed")).where("members > 1")
-    named = F.xxhash64(*KEYS, "anchor", "near", "far")
-    live = cut_lineage(entries.join(shared.select("bucket", "mixed"), "bucket").withColumn("name", named))
+    live = entries.join(shared.select("bucket", "mixed"), "bucket").withColumn(
+        "name", F.xxhash64(*KEYS, "anchor", "near", "far"))
     whole = aggregate_apart(live, ["bucket", "same"], F.sum("n").cast("int").alias("copies"),
                             F.min("name").alias("first")).where("copies > 1")
-    marked = live.join(whole, ["bucket", "same"], "left")
+    marked = cut_lineage(live.join(whole, ["bucket", "same"], "left"))
     rest = marked.where("mixed and (copies is null or name = first)").withColumn("n", F.coalesce("copies", "n"))
     return marked.where("copies is not null"), rest.select(*entries.columns)
 
@@ -264,7 +264,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, q: in
         whole, open_entries = _settle(level)
         repeated.append(whole.select(place))
         level = cut_lineage(open_entries.mapInArrow(_finer_cells(size, step, reach), schema))
-    repeated.append(_settle(level)[0].select(place))
+    # A cell of one window has no other bytes than the shared ones: its bucket decides.
+    shared = aggregate_apart(level, ["bucket"], F.sum("n").alias("members")).where("members > 1")
+    repeated.append(level.join(shared.select("bucket"), "bucket").select(place))
     found = reduce(DataFrame.unionAll, repeated)
     return found.select(*KEYS, (F.col("anchor") - F.col("far")).alias("begin"),
                         (F.col("anchor") - F.col("near") + length).alias("end"))
