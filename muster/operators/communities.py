@@ -20,11 +20,10 @@ from muster.session import cut_lineage
 MAX_SIZE = 40
 MAX_DEPTH = 6
 
-# When to stop looking for better moves.
-FIRST_ROUNDS, LATER_ROUNDS = 6, 3
-SETTLED = 0.01
-MERGED = 0.9
-LEVELS = 4
+# A level has converged once no node gains by moving, or once modularity has not grown by more
+# than this over the rounds in which, by the draw, nearly every willing node has had its turn.
+TOLERANCE = 1e-5
+TURNS = 4
 
 
 def communities(nodes: DataFrame, key: str, pairs: DataFrame, max_size: int = MAX_SIZE,
@@ -78,7 +77,8 @@ def _best_split(grouped: DataFrame, pairs: DataFrame, max_size: int, per_salt: i
     """Modularity communities ``(node, label)`` of the linked nodes, per group of ``grouped``.
 
     The groups share no edges, so they are solved together, each with its own total weight.
-    Communities are merged level by level; a node keeps the last label with few enough members.
+    Communities are merged level by level until nothing merges any more; a node keeps the last
+    label with few enough members.
     """
     graph = Arcs(pairs, per_salt)
     strengths = graph.vertices.select("node", "strength").join(
@@ -86,12 +86,12 @@ def _best_split(grouped: DataFrame, pairs: DataFrame, max_size: int, per_salt: i
     totals = strengths.groupBy("label").agg(F.sum("strength").alias("total"))
     matched = F.col("l.label").eqNullSafe(F.col("r.label"))
     total = strengths.alias("l").join(totals.alias("r"), matched).select("l.node", "r.total")
-    answer = None
-    for level in range(LEVELS):
+    answer, level = None, 0
+    while True:
         state = cut_lineage(graph.vertices.join(total, "node").select(
             "node", "salts", "strength", "total", F.col("node").alias("c"),
-            F.lit(False).alias("want"), F.lit(0).alias("turn")))
-        state = _move_all(graph, state, graph.linked, LATER_ROUNDS if level else FIRST_ROUNDS)
+            F.lit(False).alias("want"), F.lit(0.0).alias("fit"), F.lit(0).alias("turn")))
+        state = _move_all(graph, state)
         step = state.select(F.col("node").alias("at"), F.col("c").alias("higher"))
         if answer is None:
             placed = step.select(F.col("at").alias("node"), "higher", F.col("higher").alias("label"))
@@ -107,12 +107,12 @@ def _best_split(grouped: DataFrame, pairs: DataFrame, max_size: int, per_salt: i
             F.when(keep, F.col("first")).otherwise(F.col("label")).alias("label"), fits.alias("fits")))
         after, small = answer.agg(
             F.count_distinct("at"), F.count(F.when(F.col("fits"), 1))).first()
-        if after > MERGED * graph.linked or not small:
-            break
+        if after == graph.linked or not small:
+            break  # nothing merged, or all communities are too large to name one
         total = state.groupBy(F.col("c").alias("node")).agg(F.first("total").alias("total"))
         merged = cut_lineage(_merge(graph, state))
         graph.close()
-        graph = Arcs(merged, per_salt)
+        graph, level = Arcs(merged, per_salt), level + 1
     graph.close()
     return answer.select("node", "label")
 
@@ -128,21 +128,32 @@ def _merge(graph: Arcs, state: DataFrame) -> DataFrame:
     )
 
 
-def _move_all(graph: Arcs, state: DataFrame, nodes: int, rounds: int) -> DataFrame:
-    for _ in range(rounds):
+def _move_all(graph: Arcs, state: DataFrame) -> DataFrame:
+    """Rounds of moves to convergence; the state of the best modularity seen."""
+    best, kept, turns = None, state, 0
+    while True:
         seen = Observation()
-        wanting = F.count(F.when(F.col("want"), 1)).alias("wanting")
-        state = cut_lineage(_move(graph, state).observe(seen, wanting))
-        if seen.get["wanting"] <= SETTLED * nodes:
-            break
-    return state
+        after = cut_lineage(_move(graph, state).observe(
+            seen, F.count(F.when(F.col("want"), 1)).alias("wanting"),
+            (F.sum("fit") / F.sum("strength")).alias("modularity")))
+        found = seen.get  # of ``state``, before its moves
+        now = found["modularity"] or 0.0
+        if best is None or now > best:
+            turns = 0 if best is None or now > best + TOLERANCE else turns + 1
+            best, kept = now, state
+        else:
+            turns += 1
+        if not found["wanting"] or turns >= TURNS:
+            return kept
+        state = after
 
 
 def _move(graph: Arcs, state: DataFrame) -> DataFrame:
-    """One round of moves. ``want`` marks nodes that would gain by moving."""
+    """One round of moves. ``want`` marks nodes that would gain by moving; ``fit`` is a node's part
+    of the modularity before the moves."""
     sums = aggregate_apart(
         state, ["c"], F.sum("strength").alias("tot"), F.count(F.lit(1)).alias("n"))
-    state = state.drop("want").join(sums, "c")
+    state = state.drop("want", "fit").join(sums, "c")
     options = (
         graph.send(state.select("node", "salts", "c", "tot", "n"))
         .where(F.col("src") != F.col("dst"))
@@ -166,4 +177,5 @@ def _move(graph: Arcs, state: DataFrame) -> DataFrame:
     return judged.select(
         "node", "salts", "strength", "total",
         F.when(moves, F.col("best.to")).otherwise(F.col("c")).alias("c"),
-        wants.alias("want"), (F.col("turn") + 1).alias("turn"))
+        wants.alias("want"), (F.col("shared") - pull * F.col("tot")).alias("fit"),
+        (F.col("turn") + 1).alias("turn"))
