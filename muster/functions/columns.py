@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
 from datetime import date
 from typing import Any
 
@@ -18,60 +20,77 @@ FNV_MASK = 4294967295
 NONE_LABEL = "(none)"
 
 
+_ORDER = {"eq": operator.eq, "neq": operator.ne, "lt": operator.lt, "lte": operator.le,
+          "gt": operator.gt, "gte": operator.ge}
+
+
 def order_compare(op: str, left: Column, right: Any) -> Column:
-    """``eq neq gt gte lt lte`` as a column."""
-    return {
-        "eq": lambda: left == right,
-        "neq": lambda: left != right,
-        "gt": lambda: left > right,
-        "gte": lambda: left >= right,
-        "lt": lambda: left < right,
-        "lte": lambda: left <= right,
-    }[op]()
+    """One of the six comparisons as a column."""
+    return _ORDER[op](left, right)
+
+
+Reader = Callable[[Any], Any]
+Builder = Callable[[Column, Reader, Any, "date | None"], Column]
+
+
+def _ordered(op: str) -> Builder:
+    return lambda col, read, value, _: order_compare(op, col, F.lit(read(value)))
+
+
+def _inside(col: Column, read: Reader, value: Any, _: date | None) -> Column:
+    if not isinstance(value, (list, tuple)) or len(value) != 2:
+        raise ValueError("a range has two ends")
+    return col.between(*[F.lit(read(v)) for v in value])
+
+
+def _listed(col: Column, read: Reader, value: Any, _: date | None) -> Column:
+    if not isinstance(value, (list, tuple)) or not len(value):
+        raise ValueError("the list of values is empty")
+    return col.isin(*map(read, value))
+
+
+def _text(name: str) -> Builder:
+    return lambda col, read, value, _: getattr(F.lower(col), name)(read(value).lower())
+
+
+def _days(value: Any, as_of: date | None) -> Column:
+    return F.date_sub(F.lit(as_of), as_days(value))
+
+
+#: One builder per operator; comparisons are null where the column is, the null tests never are.
+_BUILDERS: dict[str, Builder] = {
+    **{op: _ordered(op) for op in _ORDER},
+    "between": _inside,
+    "in": _listed,
+    "not_in": lambda col, read, value, as_of: ~_listed(col, read, value, as_of),
+    "contains": _text("contains"), "starts_with": _text("startswith"), "ends_with": _text("endswith"),
+    "within_last_days": lambda col, _, value, as_of: col.between(_days(value, as_of), F.lit(as_of)),
+    "before_last_days": lambda col, _, value, as_of: col < _days(value, as_of),
+    "is_null": lambda col, *_: col.isNull(),
+    "is_not_null": lambda col, *_: col.isNotNull(),
+}
+
+
+def _build(op: str, col: Column, read: Reader, value: Any, as_of: date | None, path: str) -> Column:
+    try:
+        return _BUILDERS[op](col, read, value, as_of)
+    except RuleError as error:
+        raise RuleError(error.message, path) from None
+    except ValueError as error:
+        raise RuleError(str(error), path) from None
 
 
 def compare_number(op: str, col: Column, value: Any, path: str = "rule") -> Column:
     """Compare a metric value; ``between`` includes both ends."""
-    if op == "between":
-        low, high = _pair(value, path)
-        return col.between(as_number(low, path), as_number(high, path))
-    return order_compare(op, col, F.lit(as_number(value, path)))
+    return _build(op, col, as_number, value, None, path)
 
 
 def compare_attribute(col: Column, attribute: Attribute, op: str, value: Any, as_of: date | None,
                       path: str = "rule") -> Column:
-    """One attribute predicate, null where the column is null (but for the null tests)."""
+    """One test of an attribute, with ``value`` read as the attribute's type demands."""
     if op not in OPERATORS[attribute.type]:
-        raise RuleError(f"{op!r} does not fit the {attribute.type} field {attribute.name}", path)
-    if op == "is_null":
-        return col.isNull()
-    if op == "is_not_null":
-        return col.isNotNull()
-    if op in ("within_last_days", "before_last_days"):
-        start = F.date_sub(F.lit(as_of), as_days(value, path))
-        return col.between(start, F.lit(as_of)) if op == "within_last_days" else col < start
-    if op == "between":
-        low, high = (coerce(attribute, v, path) for v in _pair(value, path))
-        return col.between(F.lit(low), F.lit(high))
-    if op in ("in", "not_in"):
-        if not isinstance(value, (list, tuple)) or not value:
-            raise RuleError("choose at least one value", path)
-        found = col.isin([coerce(attribute, v, path) for v in value])
-        return found if op == "in" else ~found
-    literal = coerce(attribute, value, path)
-    if op == "contains":
-        return F.lower(col).contains(literal.lower())
-    if op == "starts_with":
-        return F.lower(col).startswith(literal.lower())
-    if op == "ends_with":
-        return F.lower(col).endswith(literal.lower())
-    return order_compare(op, col, F.lit(literal))
-
-
-def _pair(value: Any, path: str) -> tuple[Any, Any]:
-    if not isinstance(value, (list, tuple)) or len(value) != 2:
-        raise RuleError("between needs [low, high]", path)
-    return value[0], value[1]
+        raise RuleError(f"no {op!r} on {attribute.name}, which is of type {attribute.type}", path)
+    return _build(op, col, lambda v: coerce(attribute, v), value, as_of, path)
 
 
 def in_months(col: Column, as_of: date, months: int) -> Column:

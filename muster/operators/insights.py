@@ -203,16 +203,25 @@ def trend(catalog: Catalog, anchor: str, metric: str, rule: Condition, months: i
         raise RuleError(f"{metric} is not available for {anchor}", "metric")
     scope = Scope(catalog, anchor, as_of, memberships)
     flag = F.coalesce(scope.predicate(rule), F.lit(False)).alias("in_segment")
-    today, day = m.as_of or scope.as_of, F.col(m.time_column)
-    month = F.trunc(day, "month")
-    wanted = ((day > F.add_months(F.lit(today), -months))
-              & (day <= F.date_add(F.lit(today), TREND_EXTRA_DAYS)) & (month <= F.lit(today)))
-    value = F.lit(1) if m.aggregate == "count" else F.col(m.column)
+    today = F.lit(m.as_of or scope.as_of)
     prefix, rest = split_path(path)
-    monthly = roll_up(catalog, rest, [State("v", value, F.sum)], by={"month": month}, where=wanted)
-    link = scope.link(prefix, rest[0].left)
-    rows = scope.table().select(flag, F.col(link).alias("__at")).join(
-        monthly, F.col("__at") == F.col("__link"))
+
+    def shown(day: Column) -> Column:
+        return ((day > F.add_months(today, -months)) & (day <= F.date_add(today, TREND_EXTRA_DAYS))
+                & (F.trunc(day, "month") <= today))
+
+    if rest:
+        day, value = F.col(m.time_column), F.lit(1) if m.aggregate == "count" else F.col(m.column)
+        monthly = roll_up(catalog, rest, [State("v", value, F.sum)], by={"month": F.trunc(day, "month")},
+                          where=shown(day))
+        link = scope.link(prefix, rest[0].left)
+        rows = scope.table().select(flag, F.col(link).alias("__at")).join(
+            monthly, F.col("__at") == F.col("__link"))
+    else:  # one row of a parent at most: its own month and value
+        there, day = (F.col(scope.link(prefix, c)) for c in (prefix[-1].right, m.time_column))
+        value = F.lit(1) if m.aggregate == "count" else F.col(scope.link(prefix, m.column))
+        rows = scope.table().where(there.isNotNull() & shown(day)).select(
+            flag, F.trunc(day, "month").alias("month"), value.alias("v"))
     v, inside = F.coalesce("v", F.lit(0)), F.col("in_segment")
     return (
         rows.groupBy(F.col("month").cast("string").alias("month"))

@@ -150,6 +150,7 @@ def catalog(t: Mapping[str, DataFrame]) -> Catalog:
         Network("account_links", "customer", "linked_to",
                 (Attribute("link_type", "enum", values=LINK_TYPES),)),
     )
+    # What is shown of each anchor.
     anchors = (
         Anchor("subscription",
                profile=("subscription.payment_type", "subscription.status", "plan.category",
