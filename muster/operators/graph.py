@@ -76,23 +76,16 @@ class Arcs:
             .repartition(parts, "node").sortWithinPartitions("node")
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
-        busiest, self.linked = self.vertices.agg(
-            F.coalesce(F.max("salts"), F.lit(1)), F.count(F.lit(1))).first()
-        self.salted = busiest > 1
-        if self.salted:
-            salts = self.vertices.select(F.col("node").alias("src"), "salts")
-            arcs = self._both.join(salts, "src").select(
-                "src", F.pmod(F.xxhash64("dst"), "salts").cast("int").alias("salt"), "dst", "weight")
-            arcs = arcs.repartition(parts, "src", "salt").sortWithinPartitions("src", "salt")
-        else:
-            arcs = self._both.repartition(parts, "src").sortWithinPartitions("src")
+        self.linked = self.vertices.count()
+        salts = self.vertices.select(F.col("node").alias("src"), "salts")
+        arcs = self._both.join(salts, "src").select(
+            "src", F.pmod(F.xxhash64("dst"), "salts").cast("int").alias("salt"), "dst", "weight")
+        arcs = arcs.repartition(parts, "src", "salt").sortWithinPartitions("src", "salt")
         # Joins of every round find the edges partitioned and sorted already.
         self.arcs = arcs.persist(StorageLevel.MEMORY_AND_DISK)
 
     def send(self, state: DataFrame) -> DataFrame:
         """Join per-node ``state(node, …, salts)`` with the node's edges."""
-        if not self.salted:
-            return state.join(self.arcs, F.col("node") == F.col("src"))
         copies = state.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         return copies.join(self.arcs, (F.col("node") == F.col("src")) & (F.col("copy") == F.col("salt")))
 

@@ -273,7 +273,7 @@ def overlap_of_built(store: MembershipStore, ids: Sequence[str]) -> DataFrame:
         raise LookupError(f"build these audiences first: {', '.join(missing)}")
     parts = []
     for anchor in sorted({state[i].anchor for i in ids}):
-        found = store.read(anchor, [i for i in ids if state[i].anchor == anchor])
+        found = store.read(anchor, [i for i in ids if state[i].anchor == anchor], state)
         parts.append(found.select("segment_id", F.lit(anchor).alias("anchor"),
                                   F.col("member_key").cast("string").alias("member_key")))
     return overlap(reduce(DataFrame.unionByName, parts), ids)

@@ -1,6 +1,7 @@
 """User-made links between accounts, applied as batches.
 
-``links(src, dst, link_type, source)`` holds one row per unordered pair.
+``links(src, dst, link_type, source)`` holds one row per unordered pair, and ``created_at`` where the
+links or what is applied to them tell when a link was made.
 """
 
 from __future__ import annotations
@@ -51,24 +52,34 @@ def link(links: DataFrame, pairs: DataFrame, accounts: DataFrame, key: str,
          types: Sequence[str]) -> Linked:
     """Link ``pairs(seq, a, b, link_type)``; a pair linked before only changes its type.
 
-    A pair keeps the direction it was first linked in. The last type per pair wins.
-    Self links, unknown types and unknown accounts come back with a reason.
+    A pair keeps the direction it was first linked in. The last type per pair wins, and with it
+    the time if ``pairs`` has one (``at``). Self links, unknown types and unknown accounts come back with a reason.
     """
     checked = _checked(pairs, accounts, key, types)
-    fresh = aggregate_apart(
-        _ends(checked.where(F.col("reason").isNull())), ["__low", "__high"],
-        F.min_by(F.struct("a", "b"), "seq").alias("__first"),
-        F.max_by("link_type", "seq").alias("__type"))
-    old = _ends(links, "src", "dst").withColumnsRenamed({"__low": "__l", "__high": "__h"})
-    merged = old.join(fresh, (F.col("__l") == F.col("__low")) & (F.col("__h") == F.col("__high")),
-                      "full_outer")
+    fresh = _latest(_ends(checked.where(F.col("reason").isNull())))
+    return Linked(_merged(links, fresh), checked.where(F.col("reason").isNotNull()))
+
+
+def _latest(wanted: DataFrame) -> DataFrame:
+    """Per pair the first direction, the last type and, if known, its time."""
+    timed = [F.max_by("at", "seq").alias("__at")] if "at" in wanted.columns else []
+    return aggregate_apart(wanted, ["__low", "__high"], F.min_by(F.struct("a", "b"), "seq").alias("__first"),
+                           F.max_by("link_type", "seq").alias("__type"), *timed)
+
+
+def _merged(links: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Links with the pairs of ``fresh`` added, or their type and time replaced."""
+    old = _ends(links, "src", "dst")
+    merged = old.join(fresh, ["__low", "__high"], "full_outer")
     made = F.col("__type").isNotNull()
-    done = merged.select(
+    times = [F.col(c) for c in ("__at", "created_at") if c in merged.columns]
+    timed = [F.when(made, times[0]).otherwise(times[-1] if "created_at" in old.columns else None)
+             .alias("created_at")] if times else []
+    return merged.select(
         F.coalesce("src", "__first.a").alias("src"),
         F.coalesce("dst", "__first.b").alias("dst"),
         F.coalesce("__type", "link_type").alias("link_type"),
-        F.when(made, USER).otherwise(F.col("source")).alias("source"))
-    return Linked(done, checked.where(F.col("reason").isNotNull()))
+        F.when(made, USER).otherwise(F.col("source")).alias("source"), *timed)
 
 
 def star_pairs(groups: DataFrame) -> DataFrame:
@@ -107,26 +118,19 @@ def unlink(links: DataFrame, pairs: DataFrame) -> Unlinked:
     return Unlinked(kept, removed, missing)
 
 
-def apply_link_log(links: DataFrame, ops: DataFrame) -> DataFrame:
+def apply_link_log(links: DataFrame, ops: DataFrame, accounts: DataFrame, key: str,
+                   types: Sequence[str]) -> Linked:
     """Replay ``ops(seq, action, a, b, link_type)`` (``link`` / ``unlink``) in order of ``seq``.
 
-    Only the operations after a pair's last unlink matter: the last type wins, and the
-    direction is that of the surviving link, else of the first operation after it.
+    A link that could not be made directly is skipped and comes back with its reason. Of a pair's
+    others only those after its last unlink matter: the last type wins, with its time (``at``), and
+    the direction is that of the surviving link, else of the first operation after the unlink.
     """
-    logged = _ends(ops)
     ends = ["__low", "__high"]
-    cleared = aggregate_apart(logged.where(F.col("action") == "unlink"), ends,
+    cleared = aggregate_apart(_ends(ops.where(F.col("action") == "unlink")), ends,
                               F.max("seq").alias("__cleared"))
-    after = logged.where(F.col("action") == "link").join(cleared, ends, "left").where(
+    checked = _checked(ops.where(F.col("action") == "link"), accounts, key, types)
+    after = _ends(checked.where(F.col("reason").isNull())).join(cleared, ends, "left").where(
         F.col("__cleared").isNull() | (F.col("seq") > F.col("__cleared")))
-    fresh = aggregate_apart(
-        after, ends, F.min_by(F.struct("a", "b"), "seq").alias("__first"),
-        F.max_by("link_type", "seq").alias("__type"))
-    kept = _ends(links, "src", "dst").join(cleared, ends, "left_anti")
-    merged = kept.join(fresh, ends, "full_outer")
-    made = F.col("__type").isNotNull()
-    return merged.select(
-        F.coalesce("src", "__first.a").alias("src"),
-        F.coalesce("dst", "__first.b").alias("dst"),
-        F.coalesce("__type", "link_type").alias("link_type"),
-        F.when(made, USER).otherwise(F.col("source")).alias("source"))
+    kept = _ends(links, "src", "dst").join(cleared, ends, "left_anti").drop(*ends)
+    return Linked(_merged(kept, _latest(after)), checked.where(F.col("reason").isNotNull()))

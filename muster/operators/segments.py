@@ -18,9 +18,6 @@ from muster.operators.conditions import Condition, used_segments
 from muster.operators.evaluate import Scope, flags, matching
 from muster.sources.memberships import MembershipStore
 
-# Above this many rows a page is cut by global position instead of one task's top-k.
-LARGE_PAGE = 1_000_000
-
 
 @dataclass(frozen=True)
 class Segment:
@@ -60,24 +57,24 @@ def sized(flagged: DataFrame) -> DataFrame:
 
 
 def cut_page(df: DataFrame, key: str, limit: int | None, skip: int = 0) -> DataFrame:
-    """Rows ``skip+1 … skip+limit`` by key."""
-    if limit is None and not skip:
-        return df
-    if limit is not None and skip + limit <= LARGE_PAGE:
-        return df.orderBy(key).offset(skip).limit(limit)
+    """Rows ``skip+1 … skip+limit`` by key: a top-k from the start, else by global position."""
+    if not skip:
+        return df if limit is None else df.orderBy(key).limit(limit)
     placed = global_row_number(df, [F.col(key)], "__place").where(F.col("__place") > skip)
     if limit is not None:
         placed = placed.where(F.col("__place") <= skip + limit)
     return placed.drop("__place")
 
 
-def project(catalog: Catalog, anchor: str, keys: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """The wanted fields for ``keys`` (key column and any others), ordered by key."""
+def project(catalog: Catalog, anchor: str, keys: DataFrame, fields: Sequence[str],
+            ordered: bool = True) -> DataFrame:
+    """The wanted fields for ``keys`` (key column and any others), ordered by key unless told not to."""
     scope = Scope(catalog, anchor, base=keys)
     key = scope.key
     columns = {f: scope.field(f) for f in fields}
     others = [c for c in keys.columns if c != key]
-    return scope.table().orderBy(key).select(
+    table = scope.table()
+    return (table.orderBy(key) if ordered else table).select(
         *(c.alias(n) for n, c in columns.items()), *others)
 
 
@@ -91,7 +88,7 @@ def preview(catalog: Catalog, anchor: str, rule: Condition, k: int = 25,
 
 def members(catalog: Catalog, segment: Segment, store: MembershipStore | None = None,
             fields: Sequence[str] = (), limit: int | None = 100, skip: int = 0,
-            group: str | None = None) -> DataFrame:
+            group: str | None = None, ordered: bool = True) -> DataFrame:
     """A page of members by key: the built ones, or the live matches if never built.
 
     The ``group`` filter applies to built audiences only; a group column appears if
@@ -104,14 +101,13 @@ def members(catalog: Catalog, segment: Segment, store: MembershipStore | None =
     if built is None:
         found = live(catalog, segment, store, state)
     else:
-        store.declare(segment.anchor, _key_type(catalog, segment.anchor))
-        found = store.read(segment.anchor, [segment.segment_id])
+        found = store.read(segment.anchor, [segment.segment_id], state)
         known_group = F.coalesce("group", F.lit("target"))
         if group is not None:
             found = found.where(known_group == group)
         found = found.select(F.col("member_key").alias(key),
                              *([known_group.alias("group")] if built.control_count else []))
-    return project(catalog, segment.anchor, cut_page(found, key, limit, skip), fields)
+    return project(catalog, segment.anchor, cut_page(found, key, limit, skip), fields, ordered)
 
 
 def live(catalog: Catalog, segment: Segment, store: MembershipStore | None, state: dict) -> DataFrame:
@@ -123,8 +119,8 @@ def live(catalog: Catalog, segment: Segment, store: MembershipStore | None, stat
 def export_csv(catalog: Catalog, segment: Segment, path: str, store: MembershipStore | None = None,
                fields: Sequence[str] = (), group: str | None = "target",
                max_rows: int | None = None) -> None:
-    """Write members as CSV with a header. Control members stay out unless asked for."""
-    found = members(catalog, segment, store, fields, max_rows, 0, group)
+    """Write members as CSV with a header, in no order. Control members stay out unless asked for."""
+    found = members(catalog, segment, store, fields, max_rows, 0, group, ordered=False)
     found.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -219,16 +215,17 @@ def _build(catalog: Catalog, anchor: str, due: list[Segment], store: MembershipS
             .otherwise("target").alias("group")))
         for n, s in names.items()
     ]
-    found = flagged.select(F.col(key).alias("member_key"), F.explode(F.array(*groups)).alias("m"))
-    found = found.where(F.col("m").isNotNull()).select("m.segment_id", "member_key", "m.group")
-    written = store.write(anchor, found, [s.segment_id for s in due], state)
+    found = flagged.select(F.col(key).alias("member_key"), F.explode(
+        F.filter(F.array(*groups), lambda g: g.isNotNull())).alias("m"))
+    found = found.select("m.segment_id", "member_key", "m.group")
+    build, key_type, written = store.write(anchor, found, [s.segment_id for s in due])
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     rows = []
     for s in due:
         row = written.get(s.segment_id)
         n, held = (row.members, row.control) if row else (0, 0)
         rows.append((s.segment_id, anchor, s.version, float(s.holdout_pct),
-                     as_of or catalog.as_of, now, n, n - held, held))
+                     as_of or catalog.as_of, now, n, n - held, held, build, key_type))
     return store.put_state(rows)
 
 
@@ -243,15 +240,10 @@ def _memberships(catalog: Catalog, anchor: str, store: MembershipStore | None,
             raise RuleError(f"segment {i!r} selects {state[i].anchor} rows, not {anchor}")
     built = [i for i in ids if i in state]
     if store and built:
-        store.declare(anchor, _key_type(catalog, anchor))
-        return store.read(anchor, built)
+        return store.read(anchor, built, state)
     base = catalog.tables[catalog.entity(anchor).table]
     none = base.where(F.lit(False))
     return none.select(F.lit("").alias("segment_id"),
                        F.col(catalog.entity(anchor).key).alias("member_key"),
                        F.lit("target").alias("group"))
 
-
-def _key_type(catalog: Catalog, anchor: str) -> str:
-    entity = catalog.entity(anchor)
-    return catalog.tables[entity.table].schema[entity.key].dataType.simpleString()

@@ -446,11 +446,13 @@ def kpi_rows(names: list[str]) -> str:
             f"round(CASE WHEN b <> 0 THEN s / b END, 4) AS lift FROM ({' UNION ALL '.join(rows)})")
 
 
+ORACLES["profile_counts"] = ORACLES["preview_counts"]
 ORACLES["kpi_lift"] = f"""
 WITH v AS (SELECT {EUROPE} AND {BIG} AS flag, c_acctbal AS balance,
                   (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders,
                   {spend(12)} AS spend, {event_metric(6, "count(*)")} AS events FROM customer)
 {kpi_rows(["balance", "orders", "spend", "events"])}"""
+ORACLES["profile_kpis"] = ORACLES["kpi_lift"]
 ORACLES["kpi_orders"] = f"""
 WITH q AS (SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem
            WHERE l_shipdate::date > ({ASOF} - INTERVAL 36 MONTH)::date AND l_shipdate::date <= {ASOF}
@@ -514,6 +516,30 @@ grid AS (SELECT i.id AS a, j.id AS b, coalesce(p.n, 0) AS common, coalesce(sa.n,
 SELECT a, b, common,
        CASE WHEN na + nb - common > 0 THEN round(common / (na + nb - common), 9) ELSE 0 END AS jaccard,
        CASE WHEN na > 0 THEN round(common / na, 9) ELSE 0 END AS containment FROM grid"""
+ORACLES["overlap_reopened"] = """
+WITH m AS (SELECT '007' AS id, c_custkey AS k FROM customer WHERE c_acctbal >= 0
+           UNION ALL SELECT '12', c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'),
+ids(id) AS (VALUES ('007'), ('12'), ('none')),
+grid AS (SELECT i.id AS a, j.id AS b,
+                (SELECT count(*) FROM m x JOIN m y ON x.k = y.k WHERE x.id = i.id AND y.id = j.id) AS common,
+                (SELECT count(*) FROM m WHERE m.id = i.id) AS na, (SELECT count(*) FROM m WHERE m.id = j.id) AS nb
+         FROM ids i CROSS JOIN ids j)
+SELECT a, b, common,
+       CASE WHEN na + nb - common > 0 THEN round(common / (na + nb - common), 9) ELSE 0 END AS jaccard,
+       CASE WHEN na > 0 THEN round(common / na, 9) ELSE 0 END AS containment FROM grid"""
+ORACLES["metric_of_parent"] = with_(ACTIVE, rest=f"""
+SELECT o_orderkey FROM orders JOIN cust ON o_custkey = c_custkey WHERE c_acctbal > 0
+AND last_event > ({EVENT_ASOF} - INTERVAL 1 MONTH)::date AND last_event <= {EVENT_ASOF}""")
+ORACLES["trend_of_parent"] = with_(ACTIVE, rest=f"""
+SELECT date_trunc('month', last_event)::date::varchar AS month,
+       round(avg(c_acctbal) FILTER (o_orderstatus = 'F'), 4) AS segment, round(avg(c_acctbal), 4) AS base,
+       count(*) FILTER (o_orderstatus = 'F') AS segment_n, count(*) AS base_n
+FROM orders JOIN cust ON o_custkey = c_custkey
+WHERE last_event > ({EVENT_ASOF} - INTERVAL 6 MONTH)::date AND date_trunc('month', last_event) <= {EVENT_ASOF}
+GROUP BY 1""")
+ORACLES["lookup_duplicates"] = """
+SELECT c_custkey, r_name = 'ASIA' AS east, n_name AS nation
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 ORACLES["drivers"] = with_(*breakdown_parts(f"{EUROPE} AND c_acctbal > 5000", [
     "customer.market", "nation.name", "order.priority", "part.type", "event.type"]), rest="""
 , scored AS (SELECT *, abs(log2(greatest("index", 1) / 100)) * sqrt(greatest(segment_pct, base_pct)) AS strength,
@@ -653,8 +679,35 @@ SELECT entity, key FROM (
   UNION ALL
   (SELECT 'order', o_orderkey::varchar FROM orders WHERE starts_with(o_orderkey::varchar, '11')
    ORDER BY o_orderkey LIMIT 40)) ORDER BY entity, key LIMIT 40"""
-ORACLES["feature_summary"] = with_recursive(LINKS, HOUSE, rest="""
-SELECT (SELECT count(*) FROM customer) AS lines, (SELECT count(DISTINCT c_nationkey) FROM customer) AS communities,
+BLOCKS = """
+blocks AS (SELECT c_custkey, c_custkey // 25 AS block, c_nationkey, c_acctbal < 0 AS churned FROM customer),
+block_heads AS (SELECT block, min(c_custkey) AS head FROM blocks GROUP BY 1),
+grouped AS (SELECT c_custkey, churned, dense_rank() OVER (ORDER BY head) AS community,
+                   count(*) OVER (PARTITION BY block) AS size, count(*) FILTER (churned) OVER (PARTITION BY block) AS gone
+            FROM blocks JOIN block_heads USING (block)),
+rates AS (SELECT *, CASE WHEN size > 1 THEN round_even((gone - churned::int) / (size - 1), 3) ELSE 0 END AS rate
+          FROM grouped)"""
+BLOCK_PAIRS = """
+pairs AS MATERIALIZED (
+  SELECT head AS src, c_custkey AS dst, (100 + c_nationkey)::double AS weight
+  FROM blocks JOIN block_heads USING (block) WHERE c_custkey <> head
+  UNION ALL SELECT a.head, b.head, 1 FROM block_heads a JOIN block_heads b ON b.block = a.block + 1)"""
+ORACLES["number_components"] = with_recursive(LINKS, HOUSE, rest="""
+SELECT node, dense_rank() OVER (ORDER BY component) AS community, household_size AS community_size FROM sized""")
+ORACLES["communities_of_blocks"] = with_(BLOCKS, rest="""
+SELECT c_custkey AS node, community, size AS community_size FROM grouped""")
+ORACLES["community_invariants"] = """
+SELECT count(*) AS rows, count(*) AS nodes, count(*) AS members, true AS gapless, true AS ordered,
+       true AS at_least_components FROM customer"""
+ORACLES["features_refreshed"] = with_recursive(LINKS, HOUSE, BLOCKS, BLOCK_PAIRS, *rank_parts()[2:], SCORE, rest="""
+SELECT c_custkey, influence_score, community AS community_id, size AS community_size, rate AS community_churn_rate,
+       household_size FROM rates JOIN score ON score.node = c_custkey JOIN sized ON sized.node = c_custkey""")
+ORACLES["influencers_in_churning_communities"] = with_(BLOCKS, BLOCK_PAIRS, *rank_parts()[2:], SCORE, rest="""
+SELECT c_custkey FROM rates JOIN score ON node = c_custkey JOIN customer USING (c_custkey)
+WHERE c_acctbal >= 0 AND influence_score >= 60 AND rate >= 0.09""")
+ORACLES["pagerank_settled"] = "SELECT count(*) AS nodes, 1.0::double AS total, true AS settled FROM customer"
+ORACLES["feature_summary"] = with_recursive(LINKS, HOUSE, BLOCKS, rest="""
+SELECT (SELECT count(*) FROM customer) AS lines, (SELECT count(DISTINCT community) FROM grouped) AS communities,
        (SELECT count(*) FROM sized WHERE household_size > 1) AS customers_in_households""")
 
 # ---- links and loads -------------------------------------------------------------------------------
@@ -679,15 +732,23 @@ ORACLES["link_merge"] = with_(LINKS, REQUESTS, "accepted AS (SELECT * FROM judge
                               MERGED, rest=MERGE_ROWS.format("ln"))
 ORACLES["link_rejects"] = with_(REQUESTS, rest="""
 SELECT seq, a, b, link_type, reason FROM judged WHERE reason IS NOT NULL""")
-ORACLES["link_star"] = with_("""
+ORACLES["link_times"] = with_(LINKS, REQUESTS, """
+accepted AS (SELECT judged.*, o_orderdate::date AS day FROM judged JOIN orders ON o_orderkey = seq WHERE reason IS NULL),
+fresh AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, arg_min(a, seq) AS fa, arg_min(b, seq) AS fb,
+                 arg_max(link_type, seq) AS ft, arg_max(day, seq) AS fat FROM accepted GROUP BY 1, 2)""", rest="""
+SELECT coalesce(src, fa) AS src, coalesce(dst, fb) AS dst, coalesce(ft, link_type) AS link_type,
+       fat::varchar AS created_at
+FROM ln FULL JOIN fresh ON least(src, dst) = lo AND greatest(src, dst) = hi""")
+ORACLES["link_log_rejects"] = with_(REQUESTS, rest="""
+SELECT seq, a, b, link_type, reason FROM judged WHERE reason IS NOT NULL AND seq % 7 <> 0""")
+ORACLES["link_star"] = with_(LINKS, """
 raw AS (SELECT o_orderkey AS seq, c_nationkey::bigint AS a, o_custkey AS x, c_nationkey + 25 AS y,
                (['Household', 'Family', 'Corporate', 'Same person'])[(o_orderkey % 4)::int + 1] AS link_type
         FROM orders JOIN customer ON o_custkey = c_custkey),
 req AS (SELECT seq * 10 + 1 AS seq, a, x::bigint AS b, link_type FROM raw
         UNION ALL SELECT seq * 10 + 2, a, y::bigint, link_type FROM raw),
 accepted AS (SELECT * FROM req WHERE a <> b AND a IN (SELECT c_custkey FROM customer)
-             AND b IN (SELECT c_custkey FROM customer))""", MERGED, rest="""
-SELECT fa AS src, fb AS dst, ft AS link_type, 'user' AS source FROM fresh""")
+             AND b IN (SELECT c_custkey FROM customer))""", MERGED, rest=MERGE_ROWS.format("ln"))
 ORACLES["unlink"] = with_(LINKS, rest="SELECT src, dst, link_type, source FROM ln WHERE link_type = 'Family'")
 ORACLES["unlink_missing"] = with_(LINKS, REQUESTS, rest="""
 SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM req
@@ -699,11 +760,12 @@ ops AS (SELECT o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN 'unlink' EL
                (['Household', 'Family', 'Corporate', 'Same person'])[(o_orderkey % 4)::int + 1] AS link_type
         FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey <> c_nationkey),
 old AS (SELECT c_custkey AS src, c_nationkey::bigint AS dst, 'Household' AS link_type, 'data' AS source
-        FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey <> c_nationkey),
+        FROM customer WHERE c_custkey <> c_nationkey),
 cleared AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, max(seq) AS cut FROM ops
             WHERE action = 'unlink' GROUP BY 1, 2),
 accepted AS (SELECT ops.* FROM ops LEFT JOIN cleared ON lo = least(a, b) AND hi = greatest(a, b)
-             WHERE action = 'link' AND (cut IS NULL OR seq > cut)),
+             WHERE action = 'link' AND (cut IS NULL OR seq > cut)
+               AND a IN (SELECT c_custkey FROM customer) AND b IN (SELECT c_custkey FROM customer)),
 kept AS (SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM cleared
          WHERE lo = least(src, dst) AND hi = greatest(src, dst)))""", MERGED,
                              rest=MERGE_ROWS.format("kept"))
@@ -719,8 +781,9 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 WHERE o_custkey IN (SELECT c_custkey FROM customer)
   AND l_partkey + l_linenumber * 100 IN (SELECT p_partkey FROM part) GROUP BY 1, 2"""
 ORACLES["load_links"] = with_(REQUESTS, rest="""
-SELECT least(a, b) AS src, greatest(a, b) AS dst, arg_max(link_type, seq) AS link_type FROM req
-WHERE a IN (SELECT c_custkey FROM customer) AND b IN (SELECT c_custkey FROM customer) GROUP BY 1, 2""")
+SELECT arg_min(a, seq) AS src, arg_min(b, seq) AS dst, arg_max(link_type, seq) AS link_type FROM req
+WHERE a IN (SELECT c_custkey FROM customer) AND b IN (SELECT c_custkey FROM customer)
+GROUP BY least(a, b), greatest(a, b)""")
 ORACLES["duplicate_keys"] = """
 SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"""
 ORACLES["as_of_dates"] = f"SELECT {ASOF}::varchar AS as_of"
@@ -755,7 +818,7 @@ ORACLES["plan_migration"] = with_(PLACE, rest=f"""
 SELECT c_custkey FROM place WHERE c_mktsegment = 'HOUSEHOLD' AND {spend(24, "avg(o_totalprice)")} >= 200000
 AND {spend(24)} >= 300000 AND r_name IN ('ASIA', 'EUROPE')""")
 ORACLES["shippers_without_promo"] = f"""
-SELECT c_custkey FROM customer WHERE {shipped(6)} > 50 AND NOT {part_exists("p_type = 'PROMO'")}"""
+SELECT c_custkey FROM customer WHERE {shipped(36)} > 5 AND NOT {part_exists("p_type = 'PROMO' AND p_size <= 5")}"""
 ORACLES["foreign_without_event"] = with_(PLACE, rest=f"""
 SELECT c_custkey FROM place WHERE r_name <> 'AMERICA' AND {spend(12)} >= 150000
 AND NOT {event_exists("event_type = 'purchase'")}""")

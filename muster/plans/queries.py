@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from muster.functions.columns import bucket, fnv1a32, value_text
 from muster.model import Attribute, Catalog, Entity, Hop, Metric
 from muster.operators import derived, graph, insights, links, segments
-from muster.operators.communities import communities
+from muster.operators.communities import communities, number_communities
 from muster.operators.conditions import (
     Condition,
     all_of,
@@ -24,6 +24,7 @@ from muster.operators.conditions import (
     related,
 )
 from muster.operators.evaluate import Scope, flags, matching
+from muster.operators.features import Features, refresh_features
 from muster.operators.paths import both_directions
 from muster.operators.segments import Segment
 from muster.plans import retail
@@ -385,9 +386,12 @@ def holdout_split(spark, folder):
 
 @query
 def holdout_counts(spark, folder):
-    everyone = load(spark, folder).tables["orders"].select("o_orderkey")
-    split = segments.assign_holdout(everyone, "o_orderkey", "abc123", 12.5)
-    return split.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    """Target and control counts as the bookkeeping of a built audience of all orders has them."""
+    store = built(spark, folder, [Segment("abc123", "order", all_of(), 12.5)])
+    state = spark.read.parquet(f"{store.path}/state")
+    each = F.array(F.struct(F.lit("target").alias("group"), F.col("target_count").alias("members")),
+                   F.struct(F.lit("control").alias("group"), F.col("control_count").alias("members")))
+    return state.select(F.inline(each))
 
 
 @query
@@ -474,6 +478,17 @@ def profile_long(spark, folder):
     return rows_of(insights.profile(load(spark, folder), "customer", FLAGSHIP).dimensions)
 
 
+@query
+def profile_counts(spark, folder):
+    return insights.profile(load(spark, folder), "customer", FLAGSHIP).counts
+
+
+@query
+def profile_kpis(spark, folder):
+    found = insights.profile(load(spark, folder), "customer", all_of(EUROPE, BIG_SPENDER)).kpis
+    return found.select("kpi", *(F.round(c, 4).alias(c) for c in ("segment", "base", "lift")))
+
+
 @query
 def kpi_lift(spark, folder):
     found = insights.kpis(load(spark, folder), "customer", all_of(EUROPE, BIG_SPENDER))
@@ -530,6 +545,54 @@ def overlap_matrix(spark, folder):
                         F.round("containment", 9).alias("containment"))
 
 
+#: Ids that look like numbers, and an audience without members.
+NUMBERED = [Segment("007", "customer", attribute("customer.balance", "gte", 0)),
+            Segment("12", "customer", attribute("customer.market", "eq", "BUILDING")),
+            Segment("none", "order", attribute("order.price", "gt", 10 ** 9))]
+
+
+@query
+def overlap_reopened(spark, folder):
+    """Overlap read from a store that was closed in between."""
+    again = MembershipStore(spark, built(spark, folder, NUMBERED).path)
+    found = insights.overlap_of_built(again, [s.segment_id for s in NUMBERED])
+    return found.select("a", "b", "common", F.round("jaccard", 9).alias("jaccard"),
+                        F.round("containment", 9).alias("containment"))
+
+
+@query
+def metric_of_parent(spark, folder):
+    """Metrics of the one customer of an order: a sum, and a windowed count by a date."""
+    c = load(spark, folder)
+    active = with_activity(spark, folder)
+    made = replace(active, metrics=(
+        *active.metrics, Metric("owner_balance", "customer", "sum", "c_acctbal"),
+        Metric("owner_active", "customer", "count", "", "last_event_date", 1, retail.EVENT_AS_OF)))
+    return matching(made, "order", all_of(metric("owner_balance", "gt", 0), metric("owner_active", "eq", 1)), c.as_of)
+
+
+@query
+def trend_of_parent(spark, folder):
+    """Per month of its customer's last event, the balance behind an order."""
+    active = with_activity(spark, folder)
+    made = replace(active, metrics=(
+        *active.metrics, Metric("owner_balance", "customer", "sum", "c_acctbal", "last_event_date", 1, retail.EVENT_AS_OF)))
+    found = insights.trend(made, "order", "owner_balance", attribute("order.status", "eq", "F"), 6)
+    return found.select("month", F.round("segment", 4).alias("segment"), F.round("base", 4).alias("base"),
+                        "segment_n", "base_n")
+
+
+@query
+def lookup_duplicates(spark, folder):
+    """Every nation twice, once under another name: an anchor is still one row."""
+    t = dict(load(spark, folder).tables)
+    renamed = t["nation"].withColumn("n_name", F.concat(F.lit("~"), "n_name"))
+    t["nation"] = t["nation"].unionByName(renamed)
+    made = retail.catalog(spark, folder, t)
+    return flags(made, "customer", {"east": attribute("region.name", "eq", "ASIA")},
+                 fields={"nation": "nation.name"})
+
+
 @query
 def drivers(spark, folder):
     found = insights.rule_drivers(load(spark, folder), "customer", all_of(
@@ -642,6 +705,113 @@ def community_stats(spark, folder):
                                     "community_churn_rate")
 
 
+@query
+def number_components(spark, folder):
+    """Numbers 1..k and sizes of the household groups."""
+    found = number_communities(households(load(spark, folder)).select("node", F.col("component").alias("label")))
+    return graph.group_size(found, "community", "community_size").select("node", "community", "community_size")
+
+
+BLOCK = 25
+
+
+def block_calls(c: Catalog) -> DataFrame:
+    """A graph whose communities are known: stars of 25 customers each, weakly joined in a row."""
+    block = F.floor(F.col("c_custkey") / BLOCK)
+    ids = c.tables["customer"].select("c_custkey", "c_nationkey", block.alias("block"))
+    heads = ids.groupBy("block").agg(F.min("c_custkey").alias("src"))
+    inner = ids.join(heads, "block").where("c_custkey <> src").select(
+        "src", F.col("c_custkey").alias("dst"), (F.col("c_nationkey") + 100).cast("double").alias("weight"))
+    following = heads.select((F.col("block") - 1).alias("block"), F.col("src").alias("dst"))
+    return inner.unionByName(heads.join(following, "block").select("src", "dst", F.lit(1.0).alias("weight")))
+
+
+@query
+def communities_of_blocks(spark, folder):
+    c = load(spark, folder)
+    pairs = graph.undirected(block_calls(c), c.tables["customer"], "c_custkey", "weight")
+    found = communities(c.tables["customer"], "c_custkey", pairs)
+    return graph.group_size(found, "community", "community_size").select("node", "community", "community_size")
+
+
+def modularity(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """One row: modularity of ``label(node, label)`` over the linked nodes."""
+    ends = pairs.join(label.toDF("src", "__a"), "src").join(label.toDF("dst", "__b"), "dst")
+    inside = ends.agg(F.sum(F.when(F.col("__a") == F.col("__b"), F.col("weight"))).alias("inside"),
+                      F.sum("weight").alias("total"))
+    strength = ends.select(F.col("__a").alias("c"), "weight").union(ends.select("__b", "weight"))
+    squares = strength.groupBy("c").agg(F.sum("weight").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("squares"))
+    return inside.join(squares).select(
+        (F.coalesce("inside", F.lit(0.0)) / F.col("total") - F.col("squares") / (4 * F.col("total") * F.col("total"))).alias("q"))
+
+
+@query
+def community_invariants(spark, folder):
+    """What must hold of any partition of the buyers: one row of counts and checks."""
+    c = load(spark, folder)
+    pairs = cut_lineage(purchase_pairs(c))
+    found = cut_lineage(communities(c.tables["customer"], "c_custkey", pairs))
+    apart = graph.connected_components(c.tables["customer"], "c_custkey", pairs.select("src", "dst"))
+    groups = found.groupBy("community").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
+    places = groups.agg(F.count(F.lit(1)).alias("k"), F.max("community").alias("top"), F.sum("n").alias("members"))
+    later = groups.select((F.col("community") + 1).alias("community"), F.col("first").alias("before"))
+    unordered = groups.join(later, "community").where("first <= before").agg(F.count(F.lit(1)).alias("unordered"))
+    nodes = found.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("node").alias("nodes"))
+    better = modularity(pairs, found.select("node", "community")).join(
+        modularity(pairs, apart.select("node", "component")).withColumnRenamed("q", "least"))
+    return nodes.join(places).join(unordered).join(better).select(
+        "rows", "nodes", "members", (F.col("k") == F.col("top")).alias("gapless"),
+        (F.col("unordered") == 0).alias("ordered"), (F.col("q") >= F.col("least") - 1e-9).alias("at_least_components"))
+
+
+def features(c: Catalog) -> Features:
+    """The feature job over the graph of blocks; in debt stands for churned."""
+    lines = c.tables["customer"].withColumn("churned", F.col("c_acctbal") < 0)
+    close = c.tables["account_links"].where(F.col("link_type").isin(*HOUSEHOLD_TYPES))
+    return refresh_features(lines, "c_custkey", "churned", block_calls(c), "weight", c.tables["customer"],
+                            "c_custkey", close, rounds=10, tol=0.0)
+
+
+@query
+def features_refreshed(spark, folder):
+    found = features(load(spark, folder))
+    return found.lines.join(found.customers, "c_custkey").select(
+        "c_custkey", "influence_score", "community_id", "community_size", "community_churn_rate", "household_size")
+
+
+@query
+def influencers_in_churning_communities(spark, folder):
+    c = load(spark, folder)
+    t = dict(c.tables)
+    t["customer"] = graph.with_features(t["customer"], "c_custkey", features(c).lines, "c_custkey")
+    wide = retail.catalog(spark, folder, t, (
+        Attribute("influence_score", "number", buckets=(50, 75, 90, 97)),
+        Attribute("community_churn_rate", "number", buckets=(0.05, 0.1, 0.2, 0.3))))
+    rule = all_of(attribute("customer.balance", "gte", 0), attribute("customer.influence_score", "gte", 60),
+                  attribute("customer.community_churn_rate", "gte", 0.09))
+    return matching(wide, "customer", rule, c.as_of)
+
+
+@query
+def pagerank_settled(spark, folder):
+    """PageRank to its tolerance: ranks sum to 1, and one more round moves less than the tolerance."""
+    c = load(spark, folder)
+    pairs = cut_lineage(purchase_pairs(c))
+    done = cut_lineage(graph.pagerank(c.tables["customer"], "c_custkey", pairs))
+    arcs = both_directions(pairs)
+    strength = arcs.groupBy("src").agg(F.sum("weight").alias("s"))
+    total = c.tables["customer"].count()
+    state = done.join(strength.withColumnRenamed("src", "node"), "node", "left")
+    lost = state.agg(F.coalesce(F.sum(F.when(F.col("s").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
+    got = state.join(arcs, F.col("node") == F.col("src")).groupBy("dst").agg(
+        F.sum(F.col("rank") * F.col("weight") / F.col("s")).alias("got"))
+    once = done.join(got, F.col("node") == F.col("dst"), "left").join(lost)
+    after = (1 - graph.DAMPING) / total + graph.DAMPING * (F.col("lost") / total + F.coalesce("got", F.lit(0.0)))
+    return once.agg(
+        F.count(F.lit(1)).alias("nodes"), F.round(F.sum("rank"), 9).alias("total"),
+        (F.sum(F.abs(after - F.col("rank"))) < graph.TOLERANCE).alias("settled"))
+
+
 def typed_edges(c: Catalog) -> DataFrame:
     """All relationships as ``(type, src, dst, calls)`` between ``Label:key`` ids."""
     t, calls = c.tables, F.lit(None).cast("double").alias("calls")
@@ -700,9 +870,7 @@ def search_union(spark, folder):
 
 @query
 def feature_summary(spark, folder):
-    c = load(spark, folder)
-    lines = c.tables["customer"].select(F.col("c_nationkey").alias("community_id"))
-    return graph.feature_summary(lines, households(c))
+    return features(load(spark, folder)).summary
 
 
 # ---- links and loads --------------------------------------------------------------------------
@@ -742,7 +910,7 @@ def nation_ops(c: Catalog) -> DataFrame:
 
 def nation_links(c: Catalog) -> DataFrame:
     customer = c.tables["customer"].where(F.col("c_custkey") != F.col("c_nationkey"))
-    return customer.where(F.col("c_mktsegment") == "BUILDING").select(
+    return customer.select(
         F.col("c_custkey").alias("src"), F.col("c_nationkey").cast("long").alias("dst"),
         F.lit("Household").alias("link_type"), F.lit("data").alias("source"))
 
@@ -771,8 +939,7 @@ def link_star(spark, folder):
                 F.col("c_nationkey").cast("long"), F.col("c_nationkey") + F.lit(25).cast("long")
                 ).alias("accounts"),
         link_kind(4).alias("link_type"))
-    none = c.tables["account_links"].where(F.lit(False))
-    return links.link_group(none, groups, c.tables["customer"], "c_custkey", retail.LINK_TYPES).links
+    return links.link_group(c.tables["account_links"], groups, c.tables["customer"], "c_custkey", retail.LINK_TYPES).links
 
 
 @query
@@ -792,7 +959,27 @@ def unlink_missing(spark, folder):
 @query
 def link_log(spark, folder):
     c = load(spark, folder)
-    return links.apply_link_log(nation_links(c), nation_ops(c))
+    return links.apply_link_log(nation_links(c), nation_ops(c), c.tables["customer"], "c_custkey",
+                                retail.LINK_TYPES).links
+
+
+@query
+def link_log_rejects(spark, folder):
+    """Operations on accounts that do not exist, with themselves or of no known type are skipped."""
+    c = load(spark, folder)
+    ops = order_pairs(c).withColumn("action", F.when(F.col("seq") % 7 == 0, "unlink").otherwise("link"))
+    found = links.apply_link_log(c.tables["account_links"], ops, c.tables["customer"], "c_custkey", retail.LINK_TYPES)
+    return found.rejected.select("seq", "a", "b", "link_type", "reason")
+
+
+@query
+def link_times(spark, folder):
+    """Links carry the time of the request that made or last changed them."""
+    c = load(spark, folder)
+    dated = order_pairs(c).join(c.tables["orders"].select(F.col("o_orderkey").alias("seq"), "o_orderdate"), "seq")
+    timed = dated.withColumnRenamed("o_orderdate", "at")
+    found = links.link(c.tables["account_links"], timed, c.tables["customer"], "c_custkey", retail.LINK_TYPES).links
+    return found.select("src", "dst", "link_type", F.col("created_at").cast("string").alias("created_at"))
 
 
 @query
@@ -834,7 +1021,8 @@ def duplicate_keys(spark, folder):
 @query
 def as_of_dates(spark, folder):
     t = load(spark, folder).tables
-    return t["orders"].agg(F.max("o_orderdate").cast("string").alias("as_of"))
+    days = [(str(tables.as_of_date(t["orders"], "o_orderdate")),)]
+    return spark.createDataFrame(days, "as_of string")
 
 
 def monthly_spend(c: Catalog) -> DataFrame:
@@ -885,7 +1073,8 @@ audience("plan_migration", all_of(
     attribute("customer.market", "eq", "HOUSEHOLD"), metric("avg_order", "gte", 200000, 24),
     metric("total_spend", "gte", 300000, 24), attribute("region.name", "in", ["ASIA", "EUROPE"])))
 audience("shippers_without_promo", all_of(
-    metric("shipped_quantity", "gt", 50, 6), ~related("part", attribute("part.type", "eq", "PROMO"))))
+    metric("shipped_quantity", "gt", 5, 36),
+    ~related("part", all_of(attribute("part.type", "eq", "PROMO"), attribute("part.size", "lte", 5)))))
 audience("foreign_without_event", all_of(
     attribute("region.name", "neq", "AMERICA"), metric("total_spend", "gte", 150000, 12),
     ~related("event", attribute("event.type", "eq", "purchase"))))

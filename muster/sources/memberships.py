@@ -1,13 +1,17 @@
 """Who belongs to which saved audience, as partitioned Parquet.
 
-Layout: ``members/anchor=…/segment_id=…`` holds ``(member_key, group)``; ``state`` holds
-one row of bookkeeping per audience.
+Layout: ``members/anchor=…/build=…/segment_id=…`` holds ``(member_key, group)`` and is never
+changed once written; ``state`` has one row of bookkeeping per audience that names its build and
+the type of its keys. A build counts from the moment the state names it: a failed write leaves all
+audiences as they were, and an audience that is empty now needs no file.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -15,7 +19,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 STATE_SCHEMA = ("segment_id string, anchor string, version int, holdout_pct double, as_of date, "
-                "built_at timestamp, member_count long, target_count long, control_count long")
+                "built_at timestamp, member_count long, target_count long, control_count long, "
+                "build string, key_type string")
 STATE_COLUMNS = [part.split()[0] for part in STATE_SCHEMA.split(", ")]
 
 
@@ -23,46 +28,45 @@ class MembershipStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self._schemas: dict[str, str] = {}
 
-    def _folder(self, anchor: str) -> str:
-        return f"{self.path}/members/anchor={anchor}"
+    def _folder(self, anchor: str, build: str) -> str:
+        return f"{self.path}/members/anchor={anchor}/build={build}"
 
-    def declare(self, anchor: str, key_type: str) -> None:
-        """Name the key type of an anchor, so that reading needs no look at the files."""
-        self._schemas[anchor] = f"member_key {key_type}, group string, segment_id string"
+    def _read_build(self, anchor: str, build: str, key_type: str, ids: list[str]) -> DataFrame:
+        schema = f"member_key {key_type}, group string, segment_id string"
+        found = self.spark.read.schema(schema).parquet(self._folder(anchor, build))
+        return found.where(F.col("segment_id").isin(ids)).select("segment_id", "member_key", "group")
 
-    def write(self, anchor: str, members: DataFrame, segment_ids: Iterable[str],
-              built_before: Iterable[str] = ()) -> dict[str, Row]:
-        """Replace the given audiences by ``members(segment_id, member_key, group)``.
+    def write(self, anchor: str, members: DataFrame, segment_ids: Iterable[str]) -> tuple[str, str, dict[str, Row]]:
+        """Write a build of ``members(segment_id, member_key, group)``; nobody sees it yet.
 
-        Only their partitions are overwritten; one that is empty now is cleared too.
-        Returns the group counts per audience, read back from what was written.
+        Returns its name, its key type, and the group counts per audience as read back.
         """
         ids = list(segment_ids)
         for segment_id in ids:
             if not re.fullmatch(r"[A-Za-z0-9_.-]+", segment_id):
                 raise ValueError(f"unsuitable segment id {segment_id!r}")
-        folder = self._folder(anchor)
-        self.declare(anchor, members.schema["member_key"].dataType.simpleString())
-        empty = members.where(F.lit(False)).drop("segment_id")
-        for segment_id in set(ids) & set(built_before):
-            empty.write.mode("overwrite").parquet(f"{folder}/segment_id={segment_id}")
-        members.hint("rebalance", "segment_id").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("segment_id").parquet(folder)
-        counted = self.read(anchor, ids).groupBy("segment_id").agg(
+        build = uuid.uuid4().hex[:12]
+        key_type = members.schema["member_key"].dataType.simpleString()
+        members.hint("rebalance", "segment_id").write.partitionBy("segment_id").parquet(self._folder(anchor, build))
+        counted = self._read_build(anchor, build, key_type, ids).groupBy("segment_id").agg(
             F.count(F.lit(1)).alias("members"),
             F.count(F.when(F.col("group") == "control", 1)).alias("control"))
-        return {r.segment_id: r for r in counted.collect()}
+        return build, key_type, {r.segment_id: r for r in counted.collect()}
 
-    def read(self, anchor: str, segment_ids: Iterable[str]) -> DataFrame:
-        """``(segment_id, member_key, group)``: only the partitions of these audiences."""
-        reader = self.spark.read
-        if anchor in self._schemas:
-            reader = reader.schema(self._schemas[anchor])
-        found = reader.parquet(self._folder(anchor))
-        found = found.where(F.col("segment_id").isin(list(segment_ids)))
-        return found.select(F.col("segment_id").cast("string"), "member_key", "group")
+    def read(self, anchor: str, segment_ids: Iterable[str], state: dict[str, Row] | None = None) -> DataFrame:
+        """``(segment_id, member_key, group)`` of the current builds of these audiences.
+
+        Files are read by the key type of their build, never by what their names look like.
+        """
+        state = self.state() if state is None else state
+        builds: dict[tuple[str, str], list[str]] = {}
+        for i in segment_ids:
+            if i not in state or state[i].anchor != anchor:
+                raise LookupError(f"{i} has not been built for {anchor}")
+            builds.setdefault((state[i].build, state[i].key_type), []).append(i)
+        parts = [self._read_build(anchor, build, key_type, ids) for (build, key_type), ids in builds.items()]
+        return reduce(DataFrame.unionByName, parts)
 
     def state(self) -> dict[str, Row]:
         """Bookkeeping of every audience built so far: one small row each."""

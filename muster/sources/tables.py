@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.functions.ranking import aggregate_apart, distinct_apart
+from muster.functions.ranking import aggregate_apart
 
 
 def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
@@ -62,17 +62,18 @@ def load_edges(edges: DataFrame, sources: DataFrame, source_key: str, targets: D
     """Edges whose ends both exist, one per ``(src, dst)``.
 
     Of repeated edges the one with the largest ``order`` (else the largest attributes) stays.
-    Undirected edges count as repeated in either direction and keep the smaller end first.
+    Undirected edges count as repeated in either direction, and a pair keeps the direction it was
+    first given: that of the smallest ``order``, else the one with the smaller end first.
     """
-    if undirected:
-        low, high = F.least("src", "dst"), F.greatest("src", "dst")
-        edges = edges.withColumns({"src": low, "dst": high})
     known = edges.join(sources.select(F.col(source_key).alias("src")), "src", "left_semi")
     known = known.join(targets.select(F.col(target_key).alias("dst")), "dst", "left_semi")
     rest = [c for c in edges.columns if c not in ("src", "dst", order)]
-    if not rest:
-        return distinct_apart(known.select("src", "dst"))
-    whole = F.struct(*rest)
+    ends = F.struct("src", "dst")
+    if undirected:
+        known = known.withColumns({"__low": F.least("src", "dst"), "__high": F.greatest("src", "dst")})
+    keys = ["__low", "__high"] if undirected else ["src", "dst"]
+    whole = F.struct(F.lit(0).alias("__one"), *rest)
     pick = F.max_by(whole, F.struct(F.col(order), whole)) if order else F.max(whole)
-    return aggregate_apart(known, ["src", "dst"], pick.alias("__row")).select(
-        "src", "dst", *(f"__row.{c}" for c in rest))
+    first = F.min_by(ends, F.struct(F.col(order), ends)) if order else F.min(ends)
+    one = aggregate_apart(known, keys, first.alias("__ends"), pick.alias("__row"))
+    return one.select("__ends.src", "__ends.dst", *(f"__row.{c}" for c in rest))

@@ -211,3 +211,33 @@ def test_overlap_needs_built_audiences(retail, store):
 
 def test_work_goes_to_the_shared_folder(spark):
     assert shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_ids_that_look_like_numbers(spark, retail, store):
+    named = [Segment("007", "customer", EUROPE), Segment("12", "customer", RICH)]
+    segments.materialize_all(retail, named, store)
+    here = sorted(map(tuple, insights.overlap_of_built(store, ["007", "12"]).collect()))
+    again = sorted(map(tuple, insights.overlap_of_built(MembershipStore(spark, store.path), ["007", "12"]).collect()))
+    assert here == again and all(row[2] > 0 for row in here)
+
+
+def test_a_failed_write_leaves_the_old_members(retail, store, monkeypatch):
+    before = segments.materialize_all(retail, [Segment("x", "customer", EUROPE)], store)
+    old = keys(store.read("customer", ["x"]).select("member_key"))
+
+    def broken(rows):
+        raise OSError("no space left")
+
+    monkeypatch.setattr(store, "put_state", broken)
+    with pytest.raises(OSError):
+        segments.materialize_all(retail, [Segment("x", "customer", RICH, version=2)], store)
+    assert store.state() == before
+    assert keys(store.read("customer", ["x"]).select("member_key")) == old
+
+
+def test_deep_pages(retail):
+    everyone = Segment("all", "customer", all_of())
+    key = sorted(r[0] for r in retail.tables["customer"].select("c_custkey").collect())
+    for limit, skip in ((10, 0), (10, 17), (None, 140), (50, 10 ** 7)):
+        page = [r[0] for r in segments.members(retail, everyone, None, ["customer.key"], limit, skip).collect()]
+        assert page == key[skip:][:limit]
