@@ -2,8 +2,8 @@
 
 Moves are decided for all nodes at once: each round every node looks at the weight it
 shares with each neighbouring community and takes the best one (Blondel et al., 2008;
-simultaneous moves as in Lu et al., 2015). Half of the nodes, drawn by a hash of node and
-round, may move per round, so neighbours do not swap places. Everything is a join or an
+simultaneous moves as in Lu et al., 2015). Groups of nodes, drawn by a hash of node and round,
+move one after the other, so neighbours seldom swap places. Everything is a join or an
 aggregate keyed by node or community; no part of the graph is collected.
 """
 
@@ -21,9 +21,10 @@ MAX_SIZE = 40
 MAX_DEPTH = 6
 
 # A level has converged once no node gains by moving, or once modularity has not grown by more
-# than this over the rounds in which, by the draw, nearly every willing node has had its turn.
+# than TOLERANCE over rounds in which every node had its turn, with all nodes drawn into as many
+# as MOST_DRAWS groups that move one after the other.
 TOLERANCE = 1e-5
-TURNS = 4
+DRAWS, MOST_DRAWS = 2, 8
 
 
 def communities(nodes: DataFrame, key: str, pairs: DataFrame, max_size: int = MAX_SIZE,
@@ -129,26 +130,32 @@ def _merge(graph: Arcs, state: DataFrame) -> DataFrame:
 
 
 def _move_all(graph: Arcs, state: DataFrame) -> DataFrame:
-    """Rounds of moves to convergence; the state of the best modularity seen."""
-    best, kept, turns = None, state, 0
+    """Rounds of moves to convergence; the state of the best modularity seen.
+
+    Moves made at once can undo each other's gain. Where a whole draw brought none, the search goes
+    on from the best state with twice as many, smaller groups.
+    """
+    best, kept, turns, draws = None, state, 0, DRAWS
     while True:
         seen = Observation()
-        after = cut_lineage(_move(graph, state).observe(
+        after = cut_lineage(_move(graph, state, draws).observe(
             seen, F.count(F.when(F.col("want"), 1)).alias("wanting"),
             (F.sum("fit") / F.sum("strength")).alias("modularity")))
         found = seen.get  # of ``state``, before its moves
         now = found["modularity"] or 0.0
+        turns = 0 if best is None or now > best + TOLERANCE else turns + 1
         if best is None or now > best:
-            turns = 0 if best is None or now > best + TOLERANCE else turns + 1
             best, kept = now, state
-        else:
-            turns += 1
-        if not found["wanting"] or turns >= TURNS:
+        if not found["wanting"]:
             return kept
+        if turns > draws:
+            if draws == MOST_DRAWS:
+                return kept
+            turns, draws, after = 0, 2 * draws, kept
         state = after
 
 
-def _move(graph: Arcs, state: DataFrame) -> DataFrame:
+def _move(graph: Arcs, state: DataFrame, draws: int) -> DataFrame:
     """One round of moves. ``want`` marks nodes that would gain by moving; ``fit`` is a node's part
     of the modularity before the moves."""
     sums = aggregate_apart(
@@ -173,7 +180,9 @@ def _move(graph: Arcs, state: DataFrame) -> DataFrame:
     both_alone = (F.col("best.to_n") == 1) & (F.col("n") == 1)
     wants = F.coalesce((-F.col("best.loss") > stay)
                        & (~both_alone | (F.col("best.to") < F.col("c"))), F.lit(False))
-    moves = wants & (F.pmod(F.xxhash64("node", "turn"), F.lit(2)) == 0)
+    # In ``draws`` rounds each node has one turn, drawn anew each time.
+    group = F.pmod(F.xxhash64("node", F.floor(F.col("turn") / draws)), F.lit(draws))
+    moves = wants & (group == F.col("turn") % draws)
     return judged.select(
         "node", "salts", "strength", "total",
         F.when(moves, F.col("best.to")).otherwise(F.col("c")).alias("c"),

@@ -306,30 +306,71 @@ def rule_drivers(catalog: Catalog, anchor: str, rule: Condition, fields: Sequenc
     return drivers(breakdown(catalog, anchor, rule, fields, as_of, memberships))
 
 
+class Walks:
+    """The ways from some anchors to all related entities, each shared stretch walked once.
+
+    A stretch keeps the anchor's key and the columns that the next steps join by. One that several
+    ways go on from is written to the shared folder, so the tables on it are read once.
+    """
+
+    def __init__(self, catalog: Catalog, anchor: str, wanted: DataFrame, entities: Sequence[str]):
+        self.catalog, self.own, self.wanted = catalog, catalog.entity(anchor), wanted
+        self.next: dict[tuple, set[str]] = {}
+        self.ways: dict[tuple, int] = {}
+        for name in entities:
+            hops = tuple(catalog.path(anchor, name))
+            for i, hop in enumerate(hops):
+                self.next.setdefault(hops[:i], set()).add(hop.left)
+                self.ways[hops[:i]] = self.ways.get(hops[:i], 0) + 1
+        self.walked: dict[tuple, DataFrame] = {}
+
+    def at(self, hops: tuple) -> DataFrame:
+        """``__key`` and, under their own names after ``__``, the columns to go on by."""
+        if hops not in self.walked:
+            columns = sorted(self.next[hops])
+            if not hops:
+                table = self.catalog.tables[self.own.table].join(self.wanted, self.own.key, "left_semi")
+                rows = table.select(F.col(self.own.key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in columns))
+            else:
+                rows = self.step(hops, columns).select("__key", *(F.col(c).alias(f"__{c}") for c in columns))
+                if self.ways[hops] > 1:
+                    rows = cut_lineage(rows)
+            self.walked[hops] = rows
+        return self.walked[hops]
+
+    def step(self, hops: tuple, columns: Sequence[str]) -> DataFrame:
+        """``__key`` and ``columns`` of the table at the end of the way."""
+        hop = hops[-1]
+        side = hop_table(self.catalog, hop).select(F.col(hop.right).alias("__right"), *columns)
+        return self.at(hops[:-1]).join(side, F.col(f"__{hop.left}") == F.col("__right")).select("__key", *columns)
+
+
 def related_rows(catalog: Catalog, anchor: str, keys: DataFrame, entity_name: str,
-                 k: int = TOP_RELATED) -> DataFrame:
-    """Up to ``k`` distinct related rows per key, the latest first."""
+                 k: int = TOP_RELATED, walks: Walks | None = None) -> DataFrame:
+    """Up to ``k`` distinct related rows per key, the latest first.
+
+    Keys and dates are walked and trimmed first; the attributes are fetched for the rows kept. Rows
+    of an entity without a key are told apart by all their attributes, so two equal ones count once.
+    """
     entity, own = catalog.entity(entity_name), catalog.entity(anchor)
-    hops = catalog.path(anchor, entity_name)
-    start = catalog.tables[own.table].join(keys.select(own.key).distinct(), own.key, "left_semi")
-    rows = start.select(F.col(own.key).alias("__key"), F.col(hops[0].left).alias("__at"))
+    hops = tuple(catalog.path(anchor, entity_name))
+    walks = walks or Walks(catalog, anchor, keys.select(own.key).distinct(), [entity_name])
     shown = [a.source for a in entity.attributes]
-    if entity.key and entity.key not in shown:
-        shown.insert(0, entity.key)
-    for i, hop in enumerate(hops):
-        kept = shown if i == len(hops) - 1 else [hops[i + 1].left]
-        side = hop_table(catalog, hop).select(
-            F.col(hop.right).alias("__right"), *(F.col(c).alias(f"__{c}") for c in kept))
-        rows = rows.join(side, F.col("__at") == F.col("__right"))
-        if i < len(hops) - 1:
-            rows = rows.select("__key", F.col(f"__{kept[0]}").alias("__at"))
-    rows = rows.select("__key", *(F.col(f"__{c}").alias(c) for c in shown))
-    if may_repeat(hops) or not entity.key:
-        rows = distinct_apart(rows)
     dated = next((a.source for a in entity.attributes if a.type == "date"), None)
     order = [F.col(dated).desc_nulls_last()] if dated else []
-    order += [F.col(entity.key)] if entity.key else [F.col(c) for c in shown if c != dated]
-    return top_per_group(rows, ["__key"], order, k)
+    if not entity.key:
+        rows = distinct_apart(walks.step(hops, shown))
+        return top_per_group(rows, ["__key"], order + [F.col(c) for c in shown if c != dated], k)
+    if entity.key not in shown:
+        shown.insert(0, entity.key)
+    rows = walks.step(hops, list(dict.fromkeys(c for c in (entity.key, dated) if c)))
+    if may_repeat(hops):
+        rows = distinct_apart(rows)
+    top = top_per_group(rows, ["__key"], order + [F.col(entity.key)], k)
+    rest = catalog.tables[entity.table].select(F.col(entity.key).alias("__id"), *(c for c in shown if c != entity.key))
+    kept = top.select("__key", F.col(entity.key).alias("__kept"), "rank")
+    full = kept.join(rest, F.col("__kept") == F.col("__id"))
+    return full.select("__key", *(F.col("__kept").alias(c) if c == entity.key else c for c in shown), "rank")
 
 
 def neighbour_rows(catalog: Catalog, anchor: str, keys: DataFrame, network_name: str,
@@ -360,14 +401,14 @@ def member_360(catalog: Catalog, anchor: str, keys: DataFrame,
     array of at most a few dozen structs, best first.
     """
     own = catalog.entity(anchor)
-    wanted = keys.select(own.key).distinct()
+    wanted = cut_lineage(keys.select(own.key).distinct())
     table = catalog.tables[own.table]
+    near = [e.name for e in catalog.entities if catalog.path(anchor, e.name)]
+    walks = Walks(catalog, anchor, wanted, near)
     out = table.join(wanted, own.key, "left_semi").select(
         own.key, F.struct(*(F.col(c) for c in table.columns)).alias("own"))
-    for entity in catalog.entities:
-        if catalog.path(anchor, entity.name):
-            rows = related_rows(catalog, anchor, wanted, entity.name)
-            out = _attach_list(out, own.key, rows, entity.name)
+    for name in near:
+        out = _attach_list(out, own.key, related_rows(catalog, anchor, wanted, name, walks=walks), name)
     for net in catalog.networks:
         if net.anchor == anchor:
             rows = neighbour_rows(catalog, anchor, wanted, net.name)

@@ -688,17 +688,27 @@ def features_written_back(spark, folder):
     return matching(wide, "customer", rule, c.as_of, fields={"household_size": "customer.household_size"})
 
 
+_found: dict[tuple[str, int], DataFrame | Features] = {}
+
+
+def buyer_communities(c: Catalog) -> DataFrame:
+    """Communities of the purchase graph, written once per session for the queries that build on them."""
+    key = ("buyers", id(c))
+    if key not in _found:
+        _found[key] = cut_lineage(communities(c.tables["customer"], "c_custkey", purchase_pairs(c)))
+    return _found[key]
+
+
 @query
 def communities_of_buyers(spark, folder):
-    c = load(spark, folder)
-    return communities(c.tables["customer"], "c_custkey", purchase_pairs(c))
+    return buyer_communities(load(spark, folder))
 
 
 @query
 def community_stats(spark, folder):
     """Per buyer: community, its size, and the churn rate of its other members."""
     c = load(spark, folder)
-    found = communities(c.tables["customer"], "c_custkey", purchase_pairs(c))
+    found = buyer_communities(c)
     churned = c.tables["customer"].select("c_custkey", (F.col("c_acctbal") < 0).alias("churned"))
     rows = graph.with_features(churned, "c_custkey", found, "node")
     return graph.leave_one_out_rate(rows, "community", "churned", "community_size",
@@ -750,7 +760,7 @@ def community_invariants(spark, folder):
     """What must hold of any partition of the buyers: one row of counts and checks."""
     c = load(spark, folder)
     pairs = cut_lineage(purchase_pairs(c))
-    found = cut_lineage(communities(c.tables["customer"], "c_custkey", pairs))
+    found = buyer_communities(c)
     apart = graph.connected_components(c.tables["customer"], "c_custkey", pairs.select("src", "dst"))
     groups = found.groupBy("community").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
     places = groups.agg(F.count(F.lit(1)).alias("k"), F.max("community").alias("top"), F.sum("n").alias("members"))
@@ -765,11 +775,15 @@ def community_invariants(spark, folder):
 
 
 def features(c: Catalog) -> Features:
-    """The feature job over the graph of blocks; in debt stands for churned."""
+    """The feature job over the graph of blocks, run once per session; in debt stands for churned."""
+    key = ("features", id(c))
+    if key in _found:
+        return _found[key]
     lines = c.tables["customer"].withColumn("churned", F.col("c_acctbal") < 0)
     close = c.tables["account_links"].where(F.col("link_type").isin(*HOUSEHOLD_TYPES))
-    return refresh_features(lines, "c_custkey", "churned", block_calls(c), "weight", c.tables["customer"],
-                            "c_custkey", close, rounds=10, tol=0.0)
+    _found[key] = refresh_features(lines, "c_custkey", "churned", block_calls(c), "weight", c.tables["customer"],
+                                   "c_custkey", close, rounds=10, tol=0.0)
+    return _found[key]
 
 
 @query
