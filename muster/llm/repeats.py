@@ -79,11 +79,22 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int, q: int):
+def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int, q: int, most: int = 8 * _CHUNK):
     """Runs of windows with one anchor: ``(first start, last start, anchor)``, as arrays.
 
-    ``ends`` are the ends of the texts laid end to end in ``data``; windows stay inside a text.
+    ``ends`` are the ends of the texts laid end to end in ``data``; windows stay inside a text. Very
+    long data are read in blocks that overlap by a window: a run that a block cuts becomes two, which
+    only means two entries instead of one.
     """
+    parts = []
+    for at in range(0, max(len(data) - length + 1, 1), most):
+        to = min(len(data), at + most + length - 1)
+        inner = np.unique(np.minimum(ends[ends > at], to) - at)
+        parts.append([x + at for x in _runs_of_block(data[at:to], inner, length, q)])
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _runs_of_block(data: np.ndarray, ends: np.ndarray, length: int, q: int):
     n = len(data)
     if n < length:
         return (np.empty(0, np.int64),) * 3

@@ -4,7 +4,9 @@ import hashlib
 import random
 from collections import Counter
 
-from muster.llm.repeats import remove_repeats
+import numpy as np
+
+from muster.llm.repeats import anchored_runs, remove_repeats
 
 
 def brute(texts, length):
@@ -65,3 +67,16 @@ def test_kept_text_is_whole_characters(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, __text string")
     assert remove_repeats(docs).count() == 0
+
+
+def test_blocks_find_the_same_anchors():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 100, 9000).astype(np.uint8)
+    ends = np.array([0, 500, 500, 2600, 2700, 9000])
+
+    def windows(most):
+        return [(i, a) for lo, hi, a in zip(*anchored_runs(data, ends, 400, 64, most)) for i in range(lo, hi + 1)]
+
+    whole = windows(10 ** 6)
+    assert len(whole) == 500 - 399 + 2100 - 399 + 6300 - 399
+    assert all(windows(most) == whole for most in (1, 700, 2200, 8999))
