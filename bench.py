@@ -19,7 +19,7 @@ HEADLINE = [
     "trend_monthly", "overlap_matrix", "drivers", "member_360_counts", "undirected_edges",
     "pagerank_10", "influence_percentile", "household_components", "leave_one_out", "expand_topk",
     "link_merge", "link_log", "upsert_latest", "load_edges", "last3_avg",
-    "communities_of_buyers", "community_stats", "purchase_components", "features_written_back", "link_star",
+    "communities_of_blocks", "features_refreshed", "purchase_components", "features_written_back", "link_star",
     "pagerank_settled",
 ]
 
