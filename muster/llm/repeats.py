@@ -238,18 +238,20 @@ def _settle(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries that are repeated as a whole, and entries to refine.
 
     To refine are entries in shared buckets that are not repeated as a whole, and, for them to
-    meet, one of each set of equal entries in a bucket that holds different ones.
+    meet, one of each set of equal entries in a bucket that holds different ones. Only one or
+    several counts, so ``n`` stops at 2; entries of repeated rows are equal and become one.
     """
     shared = aggregate_apart(
         entries, ["bucket"], F.sum("n").alias("members"),
         (F.min("same") != F.max("same")).alias("mixed")).where("members > 1")
     live = entries.join(shared.select("bucket", "mixed"), "bucket").withColumn(
         "name", F.xxhash64(*KEYS, "anchor", "near", "far"))
-    whole = aggregate_apart(live, ["bucket", "same"], F.sum("n").cast("int").alias("copies"),
+    whole = aggregate_apart(live, ["bucket", "same"], F.least(F.sum("n"), F.lit(2)).cast("int").alias("copies"),
                             F.min("name").alias("first")).where("copies > 1")
     marked = cut_lineage(live.join(whole, ["bucket", "same"], "left"))
-    rest = marked.where("mixed and (copies is null or name = first)").withColumn("n", F.coalesce("copies", "n"))
-    return marked.where("copies is not null"), rest.select(*entries.columns)
+    alone = marked.where("mixed and copies is null").select(*entries.columns)
+    chosen = marked.where("mixed and name = first").withColumn("n", F.col("copies")).select(*entries.columns)
+    return marked.where("copies is not null"), alone.union(chosen.distinct())
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, q: int = 64,

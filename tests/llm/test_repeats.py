@@ -57,6 +57,16 @@ def test_short_strings_and_repeated_rows(spark):
     assert got == expected
 
 
+def test_many_repeated_rows_beside_a_partly_equal_text(spark):
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    whole = prose(400)
+    rows = [(1, whole)] * 200 + [(None, whole[:1500])] * 90 + [(2, whole[700:1300] + prose(90)), (3, prose(90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r[:5]) for r in remove_repeats(docs).collect()), key=repr)
+    assert got == sorted(((k, *b) for (k, _), b in zip(rows, brute([t for _, t in rows], 400))), key=repr)
+
+
 def test_kept_text_is_whole_characters(spark):
     same = "é" * 300
     docs = spark.createDataFrame([(1, "à" + same + "z"), (2, "è" + same + "à"), (3, "q")], "doc_id long, text string")
