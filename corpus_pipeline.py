@@ -15,6 +15,9 @@ from muster.llm.common import table
 from muster.llm.queries import PIECE_MODEL
 from muster.session import work_path
 
+#: Passages of more than 50 words go where they repeat, and strings of 400 bytes whatever their words.
+PASSAGE_WORDS = 51
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
@@ -26,7 +29,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings; a document of which nothing is left stays, empty."""
-    found = repeats.remove_repeats(docs)
+    found = repeats.remove_repeats(docs, words=PASSAGE_WORDS)
     texts = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return found.select(*[texts.get(c, F.col(c)).alias(c) for c in docs.columns])
 

@@ -20,6 +20,10 @@ where a bucket is hot; no bucket is gathered in one task, and entries carry at m
 beside their shared core. Identifiers are 64-bit hashes chained over the levels, and "repeated"
 compares a second, independent 64-bit hash inside the bucket.
 
+Passages of ``words`` words are found the same way: a text is then the row of its words' 64-bit
+hashes, and windows, anchors and offsets count words. White space between the words does not
+matter there, but is removed with them.
+
 Defined results: a null text is empty; rows equal in id and text are two documents, so their
 strings are repeated and each row gets the same result.
 """
@@ -27,6 +31,7 @@ strings are repeated and each row gets the same result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -50,6 +55,7 @@ _CELLS = pa.schema([*_SCHEMA_KEYS, *_PLACE, ("cell", pa.int32()), *_BUCKET,
 _SQL_KEYS = "key_a long, key_b long"
 _SQL_PLACE = "anchor int, near int, far int"
 _SQL_BUCKET = "bucket long, same long, n int"
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _CHUNK = 1 << 19  # bytes hashed at once: small enough for the processor's cache
 _RANDOM = np.random.default_rng(5).integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -79,10 +85,15 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def _word_codes(body: bytes) -> np.ndarray:
+    words = body.split()
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int, q: int, most: int = 8 * _CHUNK):
     """Runs of windows with one anchor: ``(first start, last start, anchor)``, as arrays.
 
-    ``ends`` are the ends of the texts laid end to end in ``data``; windows stay inside a text. Very
+    ``data`` are bytes or 64-bit codes of words. ``ends`` are the ends of the texts laid end to end in it; windows stay inside a text. Very
     long data are read in blocks that overlap by a window: a run that a block cuts becomes two, which
     only means two entries instead of one.
     """
@@ -100,7 +111,7 @@ def _runs_of_block(data: np.ndarray, ends: np.ndarray, length: int, q: int):
         return (np.empty(0, np.int64),) * 3
     up, down = _POWERS.get(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_RANDOM[data] * up[:n], out=sums[1:])
+    np.cumsum((_RANDOM[data] if data.dtype == np.uint8 else data) * up[:n], out=sums[1:])
     grams = (sums[q:] - sums[:-q]) * down[:n - q + 1]
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
@@ -127,7 +138,7 @@ def _runs_of_block(data: np.ndarray, ends: np.ndarray, length: int, q: int):
     return first, np.flatnonzero(closes), anchors[first]
 
 
-def _root_entries(length: int, q: int):
+def _root_entries(length: int, q: int, width: int):
     """Texts to root entries. Entries of one text that agree in all bytes become one with ``n`` of 2,
     and those places are put out as repeated at once (bucket null): a text of one repeated
     letter has few entries that way."""
@@ -141,15 +152,20 @@ def _root_entries(length: int, q: int):
             at = 0
             while at < len(text):
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _CHUNK, "right")) - 1)
-                base = int(offsets[at])
-                ends = offsets[at + 1:to + 1] - base
-                first, last, anchor = anchored_runs(whole[base:int(offsets[to])], ends, length, q)
+                base, end = int(offsets[at]), int(offsets[to])
+                if width == 1:
+                    symbols, ends, raw = whole[base:end], offsets[at + 1:to + 1] - base, view[base:end]
+                else:
+                    codes = [_word_codes(bytes(view[a:b])) for a, b in zip(offsets[at:to], offsets[at + 1:to + 1])]
+                    symbols, ends = np.concatenate(codes), np.cumsum([len(c) for c in codes])
+                    raw = memoryview(symbols.tobytes())
+                first, last, anchor = anchored_runs(symbols, ends, length, q)
                 rows = np.searchsorted(ends, first, "right")
                 found: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
                 starts = np.concatenate(([0], ends[:-1]))
                 for row, lo, hi, spot in zip(rows.tolist(), first.tolist(), last.tolist(), anchor.tolist()):
-                    bucket = xxh3_64_intdigest(view[base + spot:base + spot + q])
-                    same = xxh3_64_intdigest(view[base + lo:base + hi + length], spot - lo)
+                    bucket = xxh3_64_intdigest(raw[spot * width:(spot + q) * width])
+                    same = xxh3_64_intdigest(raw[lo * width:(hi + length) * width], spot - lo)
                     found.setdefault((row, bucket, same), []).append((spot - int(starts[row]), spot - hi, spot - lo))
                 out = [(row, *place, _signed(bucket), _signed(same), min(len(places), 2))
                        for (row, bucket, same), places in found.items() for place in places[:1]]
@@ -168,22 +184,22 @@ def _root_entries(length: int, q: int):
 
 
 def _cells(near: int, far: int, bucket: int, core: int, size: int, step: int, reach: int,
-           left: bytes, right: bytes):
+           left: bytes, right: bytes, width: int):
     """Children of an entry: cells of ``step`` offsets inside ``[core, core + size)``.
 
     ``left`` and ``right`` are the bytes beside the shared core, outwards to the entry's far and
-    near ends; ``reach`` is the number of offsets in all.
+    near ends; ``reach`` is the number of offsets in all, and an offset is ``width`` bytes.
     """
     seed = bucket & 0xFFFFFFFFFFFFFFFF
     top = min(core + size, reach)
     for low in range(near // step * step, far + 1, step):
         end = min(low + step, reach)
         lo, hi = max(near, low), min(far, end - 1)
-        new_left = left[len(left) - (low - core):] if low > core else b""
-        new_right = right[:top - end]
+        new_left = left[len(left) - (low - core) * width:] if low > core else b""
+        new_right = right[:(top - end) * width]
         child = xxh3_64_intdigest(new_left, xxh3_64_intdigest(new_right, seed ^ low))
-        rest_left = left[len(left) - (hi - core):len(left) - (low - core)]
-        rest_right = right[top - end:top - 1 - lo]
+        rest_left = left[len(left) - (hi - core) * width:len(left) - (low - core) * width]
+        rest_right = right[(top - end) * width:(top - 1 - lo) * width]
         same = xxh3_64_intdigest(rest_left, xxh3_64_intdigest(rest_right, (lo << 32) | hi))
         yield lo, hi, low, _signed(child), _signed(same), rest_left, rest_right
 
@@ -194,7 +210,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
         else [pa.array([], f.type) for f in _CELLS], schema=_CELLS)
 
 
-def _first_cells(length: int, q: int, step: int):
+def _first_cells(length: int, q: int, step: int, width: int):
     """Root entries with their document's text to cells of ``step`` offsets."""
     reach = length - q + 1
 
@@ -205,11 +221,14 @@ def _first_cells(length: int, q: int, step: int):
                     *[batch.column(c).to_pylist() for c in KEYS],
                     batch.column("text").cast(pa.large_binary()), batch.column("entries").to_pylist()):
                 body = text.as_py() or b""
+                if width > 1:
+                    body = _word_codes(body).tobytes()
                 for e in entries:
                     spot, near, far = e["anchor"], e["near"], e["far"]
-                    left, right = body[spot - far:spot], body[spot + q:spot + length - near]
+                    left = body[(spot - far) * width:spot * width]
+                    right = body[(spot + q) * width:(spot + length - near) * width]
                     for lo, hi, low, bucket, same, more, less in _cells(
-                            near, far, e["bucket"], 0, reach, step, reach, left, right):
+                            near, far, e["bucket"], 0, reach, step, reach, left, right, width):
                         rows.append((key_a, key_b, spot, lo, hi, low, bucket, same, e["n"], more, less))
                 if len(rows) >= 20_000:
                     yield _batch(rows)
@@ -218,14 +237,14 @@ def _first_cells(length: int, q: int, step: int):
     return cells
 
 
-def _finer_cells(size: int, step: int, reach: int):
+def _finer_cells(size: int, step: int, reach: int, width: int):
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key_a, key_b, spot, near, far, core, bucket, _, n, left, right in zip(
                     *[batch.column(c).to_pylist() for c in _CELLS.names]):
                 for lo, hi, low, child, same, more, less in _cells(
-                        near, far, bucket, core, size, step, reach, left, right):
+                        near, far, bucket, core, size, step, reach, left, right, width):
                     rows.append((key_a, key_b, spot, lo, hi, low, child, same, n, more, less))
                 if len(rows) >= 20_000:
                     yield _batch(rows)
@@ -255,16 +274,16 @@ def _settle(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, q: int = 64,
-                   steps: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
+                   steps: tuple[int, ...] = (64, 8, 1), words: bool = False) -> DataFrame:
     """``(key_a, key_b, begin, end)``: byte ranges to remove, which may touch and overlap.
 
-    ``docs`` carries the row keys. ``steps`` are the sizes of the grid cells level by level; the
+    With ``words``, lengths and ranges are in words instead of bytes. ``docs`` carries the row keys. ``steps`` are the sizes of the grid cells level by level; the
     last must be 1.
     """
-    reach = length - q + 1
+    reach, width = length - q + 1, 8 if words else 1
     source = docs.select(*KEYS, F.col(text).alias("text"))
-    roots = cut_lineage(source.where(F.octet_length("text") >= length).mapInArrow(
-        _root_entries(length, q), f"{_SQL_KEYS}, {_SQL_PLACE}, {_SQL_BUCKET}"))
+    roots = cut_lineage(source.where(F.octet_length("text") >= (2 * length - 1 if words else length)).mapInArrow(
+        _root_entries(length, q, width), f"{_SQL_KEYS}, {_SQL_PLACE}, {_SQL_BUCKET}"))
     place = [*KEYS, "anchor", "near", "far"]
     repeated = [roots.where("bucket is null").select(place)]
     whole, open_entries = _settle(roots.where("bucket is not null"))
@@ -272,11 +291,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, q: in
     by_text = open_entries.groupBy(*KEYS).agg(F.collect_list(
         F.struct("anchor", "near", "far", "bucket", "n")).alias("entries"))
     schema = f"{_SQL_KEYS}, {_SQL_PLACE}, cell int, {_SQL_BUCKET}, left binary, right binary"
-    level = cut_lineage(source.join(by_text, KEYS).mapInArrow(_first_cells(length, q, steps[0]), schema))
+    level = cut_lineage(source.join(by_text, KEYS).mapInArrow(_first_cells(length, q, steps[0], width), schema))
     for size, step in zip(steps, steps[1:]):
         whole, open_entries = _settle(level)
         repeated.append(whole.select(place))
-        level = cut_lineage(open_entries.mapInArrow(_finer_cells(size, step, reach), schema))
+        level = cut_lineage(open_entries.mapInArrow(_finer_cells(size, step, reach, width), schema))
     # A cell of one window has no other bytes than the shared ones: its bucket decides.
     shared = aggregate_apart(level, ["bucket"], F.sum("n").alias("members")).where("members > 1")
     repeated.append(level.join(shared.select("bucket"), "bucket").select(place))
@@ -315,6 +334,14 @@ def _whole_characters(body: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
+def _bytes_of_words(body: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of words as ranges of bytes, from the start of the first word to the end of the last."""
+    if not spans:
+        return []
+    at = [m.span() for m in _WORD.finditer(body)]
+    return [(at[begin][0], at[end - 1][1]) for begin, end in spans]
+
+
 def _removal():
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +349,8 @@ def _removal():
             for text, spans in zip(batch.column("__text").cast(pa.large_binary()).to_pylist(),
                                    batch.column("__spans").to_pylist()):
                 body = text or b""
-                runs = merged([(s["begin"], s["end"]) for s in spans or []])
+                found = {w: [(s["begin"], s["end"]) for s in spans or [] if s["in_words"] == w] for w in (False, True)}
+                runs = merged(found[False] + _bytes_of_words(body, found[True]))
                 kept = _kept(body, runs) if runs else body
                 facts.append((len(body), len(body) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
                 clean = _kept(body, _whole_characters(body, runs)).decode() if runs else None
@@ -335,18 +363,22 @@ def _removal():
     return remove
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400,
+                   words: int | None = None) -> DataFrame:
     """Every row with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (of the kept bytes) and
     ``kept_text``: the kept text, in which a character that is removed only in part stays whole.
 
-    Own columns of these names are replaced.
+    Given ``words`` (8 at least), strings of so many words that start anywhere else go as well,
+    however few bytes they have; both kinds are found in the texts as they come in. Own columns of these names are replaced.
     """
     others = [c for c in docs.columns if c not in
               {text, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"}]
     keyed = docs.select(*row_keys(docs, [key, text]), F.struct(*others).alias("__doc"),
                         F.col(text).alias("__text"))
-    spans = repeated_spans(keyed, "__text", length)
-    per_row = spans.distinct().groupBy(*KEYS).agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
+    spans = repeated_spans(keyed, "__text", length).withColumn("in_words", F.lit(False))
+    if words:
+        spans = spans.union(repeated_spans(keyed, "__text", words, 8, (8, 1), True).withColumn("in_words", F.lit(True)))
+    per_row = spans.distinct().groupBy(*KEYS).agg(F.collect_list(F.struct("begin", "end", "in_words")).alias("__spans"))
     joined = keyed.join(per_row, KEYS, "left").select("__doc", "__text", "__spans")
     doc_type = keyed.schema["__doc"].dataType.simpleString()
     found = joined.mapInArrow(_removal(), f"__doc {doc_type}, n_bytes long, n_removed long, n_spans long, "

@@ -83,3 +83,15 @@ def test_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_short_passage_of_51_words_goes(spark):
+    rng = random.Random(21)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    passage = prose(51)
+    first, second = (prose(40), prose(30)), (prose(25), prose(60))
+    assert len(passage) < 300
+    rows = [(k, f"{a} {passage} {b}", "en", "s", 1) for k, (a, b) in enumerate([first, second])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, DATA).collect()}
+    assert got == {0: "  ".join(first), 1: "  ".join(second)}

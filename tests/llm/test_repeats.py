@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -67,6 +68,45 @@ def test_many_repeated_rows_beside_a_partly_equal_text(spark):
     assert got == sorted(((k, *b) for (k, _), b in zip(rows, brute([t for _, t in rows], 400))), key=repr)
 
 
+def brute_with_words(texts, length, words):
+    """Texts without bytes of repeated windows of either kind."""
+    bodies = [(t or "").encode() for t in texts]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in bodies]
+    tokens = [b.split() for b in bodies]
+    seen = Counter(b[i:i + length] for b in bodies for i in range(len(b) - length + 1))
+    met = Counter(tuple(t[i:i + words]) for t in tokens for i in range(len(t) - words + 1))
+    out = []
+    for b, at, t in zip(bodies, places, tokens):
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        for i in range(len(t) - words + 1):
+            if met[tuple(t[i:i + words])] > 1:
+                lo, hi = at[i][0], at[i + words - 1][1]
+                gone[lo:hi] = b"\1" * (hi - lo)
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((sum(gone), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_passages_of_words_equal_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 4)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(n) for n in (49, 50, 51, 52, 58, 75, 130)]
+    texts = [*corpus(), "a " * 50, "a " * 400, "a b " * 30, passages[2], passages[6].replace(" ", "\n\t ")]
+    for _ in range(60):
+        texts.append(prose(rng.randint(0, 60)) + rng.choice([" ", "  ", "\n", "x"])
+                     + rng.choice(passages) + rng.choice(["", " ", "\n"]) + prose(rng.randint(0, 60)))
+    texts += [passages[5][10:] + " " + passages[4], texts[-1], texts[-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in remove_repeats(docs, words=51).collect()}
+    expected = brute_with_words(texts, 400, 51)
+    assert [got[i] for i in range(len(texts))] == expected
+    assert sum(a[0] > b[1] for a, b in zip(expected, brute(texts, 400))) > 30
+
+
 def test_kept_text_is_whole_characters(spark):
     same = "é" * 300
     docs = spark.createDataFrame([(1, "à" + same + "z"), (2, "è" + same + "à"), (3, "q")], "doc_id long, text string")
