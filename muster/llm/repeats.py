@@ -2,7 +2,8 @@
 
 A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else, in
 the same document or another one. Suffixes are put into buckets by a q-gram and the buckets are
-refined by the identifiers of the bytes at later offsets, as in bucket-pointer refinement:
+refined by hashes of the bytes at later offsets. Unlike in bucket-pointer refinement nothing is
+sorted and no bucket identifier of a later offset is looked up: most offsets have no entry.
 
 * Not every offset enters. Each window of ``length`` bytes is filed under its anchor, the q-gram
   in it with the smallest hash. Equal windows have equal anchors at equal places, so a window is
