@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from muster.llm.common import LOWER, UPPER
 from muster.llm.quality_rules import Rules
 
 _RULES = Rules()
@@ -88,9 +89,65 @@ best AS (SELECT r, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h ||
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM x LEFT JOIN best USING (r)
 """
 
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR)::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+
+def _op11(levels: int = 7) -> str:
+    """One step per level; trees of fewer levels pass through. 7 levels reach 16**7 rows a source."""
+    stored = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaf = " || ".join(map(_field, stored))
+    lowered = " || ".join(map(_field, [*stored[:-1], f"translate(text, '{UPPER}', '{LOWER}')"]))
+
+    def climb(at: int) -> str:
+        """Runs of the nodes of step ``at``, their parents, and the rows one level higher."""
+        return f"""
+r{at} AS (SELECT t, i // 16 AS i, (max(n) + 15) // 16 AS n, list(h ORDER BY i) AS hs FROM n{at} WHERE n > 1 GROUP BY t, i // 16),
+n{at + 1} AS (SELECT t, i, n, sha256(array_to_string(hs, '')) AS h FROM r{at} UNION ALL SELECT * FROM n{at} WHERE n = 1),
+d{at + 1} AS (
+  SELECT r, d.t, coalesce(r{at}.i, d.i) AS i, coalesce(r{at}.n, d.n) AS n,
+         CASE WHEN hs IS NULL THEN f
+              ELSE sha256(array_to_string(list_concat(hs[:d.i % 16], [f], hs[d.i % 16 + 2:]), '')) END AS f,
+         CASE WHEN hs IS NULL THEN proof
+              ELSE proof || array_to_string(list_concat(hs[:d.i % 16], hs[d.i % 16 + 2:]), '') END AS proof
+  FROM d{at} AS d LEFT JOIN r{at} ON d.t = r{at}.t AND d.i // 16 = r{at}.i AND d.n > 1),"""
+
+    crcs = """
+steps(i, k, c) AS (
+  SELECT i, 0, i::UBIGINT FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END
+  FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),"""
+    body = "".join(map(climb, range(levels)))
+    second = "".join(climb(levels + 1 + k) for k in range(levels))
+    top = 2 * levels + 1
+    return f"""
+WITH RECURSIVE {crcs}
+base AS (
+  SELECT row_number() OVER () AS r, doc_id, source, sha256({leaf}) AS leaf, sha256({lowered}) AS low,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'),
+                                        lambda h: ('0x' || h)::UBIGINT),
+                         lambda c, x: xor(c // 256, t[(xor(c, x) % 256)::INT + 1]), 4294967295::UBIGINT),
+             4294967295::UBIGINT) % 5 = 0 AS hit FROM documents, crc_table),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS t,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n FROM base),
+n0 AS (SELECT t, i, n, leaf AS h FROM placed),
+d0 AS (SELECT r, t, i, n, CASE WHEN hit THEN low ELSE leaf END AS f, '' AS proof FROM placed),{body}
+n{levels + 1} AS (SELECT 0 AS t, t AS i, count(*) OVER () AS n, h FROM n{levels}),
+d{levels + 1} AS (SELECT r, 0 AS t, t AS i, (SELECT count(*) FROM n{levels}) AS n, f, proof FROM d{levels}),{second}
+done AS (SELECT r, f, sha256(proof) AS proof_sha256 FROM d{top})
+SELECT doc_id, leaf, s.h AS subroot, e.h AS root, proof_sha256, f AS folded_root, f = e.h AS verified
+FROM placed JOIN n{levels} AS s USING (t) JOIN done USING (r), n{top} AS e
+"""
+
+
 LLM_ORACLES: dict[str, str] = {
     "op2_shards": _OP2,
     "op3_decontaminate": _OP3,
     "op7_url_filter": _OP7,
     "op10_quality_rules": _OP10,
+    "op11_manifest": _op11(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from muster.llm import additive, benchmark, licences, main_text, pieces, quality_rules, repeats, shards, simhash, urls
+from muster.llm import additive, benchmark, licences, main_text, manifest, pieces, quality_rules, repeats, shards, simhash, urls
 from muster.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest(table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_shards": op2_shards,
@@ -75,4 +79,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_quality_score": op9_quality_score,
     "op10_quality_rules": op10_quality_rules,
+    "op11_manifest": op11_manifest,
 }
