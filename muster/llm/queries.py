@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from muster.llm import additive, benchmark, licences, main_text, manifest, pieces, quality_rules, repeats, shards, simhash, urls
+from muster.llm import additive, benchmark, licences, main_text, manifest, pieces, quality_rules, repeats, shards, simhash, urls, whitening
 from muster.llm.common import table
 
 
@@ -68,6 +68,10 @@ def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.manifest(table(spark, folder, "documents"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_shards": op2_shards,
@@ -80,4 +84,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_score": op9_quality_score,
     "op10_quality_rules": op10_quality_rules,
     "op11_manifest": op11_manifest,
+    "op12_whitening": op12_whitening,
 }
