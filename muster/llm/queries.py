@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from muster.llm import additive, benchmark, licences, main_text, manifest, pieces, quality_rules, repeats, shards, simhash, urls, whitening
+from muster.llm import (
+    additive, benchmark, chosen_path, licences, main_text, manifest, pieces, quality_rules, repeats, shards,
+    simhash, urls, whitening)
 from muster.llm.common import table
 
 
@@ -72,6 +74,10 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op13_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_shards": op2_shards,
@@ -85,4 +91,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_manifest": op11_manifest,
     "op12_whitening": op12_whitening,
+    "op13_minhash": op13_minhash,
 }
