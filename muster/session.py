@@ -54,3 +54,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = work_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_in_buckets(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """As ``cut_lineage``, and the rows stay dealt by ``column`` into ``parts`` partitions.
+
+    A join on that column with rows dealt the same way then moves neither side.
+    """
+    spark, name = df.sparkSession, f"muster_step_{uuid.uuid4().hex[:12]}"
+    writer = df.write.format("parquet").bucketBy(parts, column).option("path", work_path(spark, "step"))
+    writer.saveAsTable(name)
+    return spark.table(name)
