@@ -5,7 +5,8 @@ Of each distinct set, ``TOKENS`` minwise tokens are kept. A tree starts with all
 node draws positions, and each of its sets goes to the child named by its token there: similar sets
 share tokens, so they go on together, while the others part. The first levels draw two positions,
 deeper ones 1 / LEAST in the mean, so that pairs below the threshold die out and those above go on.
-Nodes with few members are compared exhaustively. Trees are independent, and all of them grow at the
+Nodes with few members are compared exhaustively; so are nodes of which all but a few members are known to
+be in one component, by comparing those few with all. Trees are independent, and all of them grow at the
 same time, level by level, as one table of nodes and members.
 
 Large nodes need more than branching where sets resemble one another. Their most central members (by
@@ -44,7 +45,7 @@ SHINGLE = 4
 LEAST = 80  # hundredths
 TOKENS = 64
 TREES = 5
-#: A node with up to as many members is compared exhaustively.
+#: A node with fewer members outside its largest component is compared exhaustively.
 SMALL = 64
 #: Central members of a larger node that are compared with all of it.
 CENTRES = 4
@@ -187,13 +188,10 @@ def _links(nodes: DataFrame, bare: DataFrame, trees: int) -> DataFrame:
     facts = nodes.select("uid", "n", "bits", F.col("uid").alias("component"))
     sets, links, tried, level = None, None, None, 1
     while True:
-        filed = cut_lineage(filed)
-        sizes = cut_lineage(filed.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-        few = sizes.where(F.col("members") <= SMALL).select("node")
-        near = cut_lineage(filed.join(few, "node").join(facts, "uid"))
-        pairs = near.alias("l").join(near.alias("r"), "node").where(
-            (F.col("l.uid") < F.col("r.uid")) & _similar("l", "r")).select(*_pair("l", "r"))
-        large = cut_lineage(_unfinished(filed.join(sizes.where(F.col("members") > SMALL), "node").join(facts, "uid")))
+        few, large = _sorted_out(filed, facts)
+        left, right = few.where("outside").alias("l"), few.alias("r")
+        once = ~F.col("r.outside") | (F.col("l.uid") < F.col("r.uid"))
+        pairs = left.join(right, "node").where(once & _similar("l", "r")).select(*_pair("l", "r"))
         more = not large.isEmpty()
         if more:
             centres = _centres(large, nodes).join(facts, "uid").alias("l")
@@ -216,14 +214,28 @@ def _links(nodes: DataFrame, bare: DataFrame, trees: int) -> DataFrame:
         facts = nodes.select("uid", "n", "bits").join(labels, "uid", "left").withColumn(
             "component", F.coalesce("component", "uid"))
         level += 1
-        left = _unfinished(large.drop("component", "n", "bits").join(facts, "uid"))
-        filed = branch(left.select("node", "uid").join(nodes.select("uid", "sketch"), "uid"), level)
-
-
-def _unfinished(members: DataFrame) -> DataFrame:
-    """Members of nodes that hold several components."""
-    several = aggregate_apart(members, ["node"], F.min("component").alias("a"), F.max("component").alias("b"))
-    return members.join(several.where("a <> b").select("node"), "node")
+        # A node that has become one component is found out among its children, which are no more than it.
+        filed = branch(large.select("node", "uid").join(nodes.select("uid", "sketch"), "uid"), level)
+
+
+def _sorted_out(filed: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members ``(node, uid, n, bits, component, outside)`` of the nodes to be compared, and of the large ones.
+
+    ``outside`` marks members that are not of the largest component of their node. A node is small if
+    fewer than ``SMALL`` are: comparing these with all its members costs each less than ``SMALL`` steps.
+    Nodes of one component are left out.
+    """
+    filed = cut_lineage(filed)
+    sizes = filed.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("node")
+    live = cut_lineage(filed.join(sizes, "node").join(facts, "uid"))
+    parts = aggregate_apart(live, ["node", "component"], F.count(F.lit(1)).alias("held"))
+    mixed = parts.groupBy("node").agg(
+        F.sum("held").alias("members"), F.count(F.lit(1)).alias("parts"),
+        F.max(F.struct("held", "component")).alias("main")).where("parts > 1")
+    mixed = mixed.select("node", F.col("main.component").alias("main"),
+                         (F.col("members") - F.col("main.held")).alias("others"))
+    held = cut_lineage(live.join(mixed, "node").withColumn("outside", F.col("component") != F.col("main")).drop("main"))
+    return held.where(F.col("others") < SMALL), held.where(F.col("others") >= SMALL)
 
 
 def _centres(large: DataFrame, nodes: DataFrame) -> DataFrame:
