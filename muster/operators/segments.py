@@ -36,6 +36,10 @@ class Segment:
         return sorted(used_segments(self.rule))
 
 
+#: Rows that one task may hold for a page of an audience that was never built; deeper ones are sorted.
+TOP_ROWS = 10_000
+
+
 class Preview(NamedTuple):
     counts: DataFrame
     sample: DataFrame
@@ -57,9 +61,11 @@ def sized(flagged: DataFrame) -> DataFrame:
 
 
 def cut_page(df: DataFrame, key: str, limit: int | None, skip: int = 0) -> DataFrame:
-    """Rows ``skip+1 … skip+limit`` by key: a top-k from the start, else by global position."""
-    if not skip:
-        return df if limit is None else df.orderBy(key).limit(limit)
+    """Rows ``skip+1 … skip+limit`` by key: a top-k near the start, else by global position."""
+    if not skip and limit is None:
+        return df
+    if limit is not None and skip + limit <= TOP_ROWS:
+        return df.orderBy(key).offset(skip).limit(limit)
     placed = global_row_number(df, [F.col(key)], "__place").where(F.col("__place") > skip)
     if limit is not None:
         placed = placed.where(F.col("__place") <= skip + limit)
@@ -99,15 +105,18 @@ def members(catalog: Catalog, segment: Segment, store: MembershipStore | None =
     state = store.state() if store else {}
     built = state.get(segment.segment_id)
     if built is None:
-        found = live(catalog, segment, store, state)
+        found = cut_page(live(catalog, segment, store, state), key, limit, skip)
     else:
-        found = store.read(segment.anchor, [segment.segment_id], state)
+        if limit is None and not skip:
+            found = store.read(segment.anchor, [segment.segment_id], state)
+        else:
+            found = store.page(segment.anchor, segment.segment_id, limit, skip, group, state)
         known_group = F.coalesce("group", F.lit("target"))
         if group is not None:
             found = found.where(known_group == group)
         found = found.select(F.col("member_key").alias(key),
                              *([known_group.alias("group")] if built.control_count else []))
-    return project(catalog, segment.anchor, cut_page(found, key, limit, skip), fields, ordered)
+    return project(catalog, segment.anchor, found, fields, ordered)
 
 
 def live(catalog: Catalog, segment: Segment, store: MembershipStore | None, state: dict) -> DataFrame:

@@ -186,8 +186,10 @@ def test_members_live_and_built(retail, store):
 
 def test_later_pages_are_cut_without_one_sorted_task(retail):
     whole = retail.tables["orders"].select("o_orderkey")
-    page = segments.cut_page(whole, "o_orderkey", 20, 100)
-    assert keys(page) == list(range(100, 120))
+    page = segments.cut_page(whole, "o_orderkey", 20, segments.TOP_ROWS)
+    assert page.count() == 0
+    page = segments.cut_page(whole, "o_orderkey", None, 100)
+    assert keys(page)[:20] == list(range(100, 120))
     assert "TakeOrdered" not in page._jdf.queryExecution().executedPlan().toString()
 
 
@@ -235,6 +237,27 @@ def test_a_failed_write_leaves_the_old_members(retail, store, monkeypatch):
     assert keys(store.read("customer", ["x"]).select("member_key")) == old
 
 
+def test_pages_of_a_build_read_the_parts_they_lie_in(spark, retail, store):
+    europe = Segment("x", "order", all_of(), 20)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        built = segments.materialize_all(retail, [europe], store)["x"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    rows = sorted((r.member_key, r.group) for r in store.read("order", ["x"]).collect())
+    for group in (None, "target", "control"):
+        chosen = [k for k, g in rows if group in (None, g)]
+        for limit, skip in ((10, 0), (25, 400), (700, 300), (None, 900), (5, len(chosen) - 2), (5, 10 ** 7)):
+            page = segments.members(retail, europe, store, ["order.key"], limit, skip, group)
+            assert [r[0] for r in page.collect()] == chosen[skip:][:limit], (group, limit, skip)
+    deep = store.page("order", "x", 10, len(rows) - 20)
+    parts = spark.read.parquet(store._pages("order", built.build)).count()
+    assert parts > 2
+    plan = deep._jdf.queryExecution().executedPlan().toString()
+    assert "part#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "rangepartitioning" not in plan
+
+
 def test_deep_pages(retail):
     everyone = Segment("all", "customer", all_of())
     key = sorted(r[0] for r in retail.tables["customer"].select("c_custkey").collect())
