@@ -78,3 +78,46 @@ def roll_up(catalog: Catalog, hops: Sequence[Hop], states: Sequence[State],
             rows = above.join(rows, F.col("__at") == F.col("__link")).select(
                 F.col("__up").alias("__link"), *kept)
     return rows
+
+
+@dataclass(frozen=True)
+class Roll:
+    """What is wanted of the rows at the end of a path, and which of them count; None for all."""
+
+    states: Sequence[State]
+    where: Column | None = None
+
+
+def roll_up_all(catalog: Catalog, rolls: Mapping[tuple[Hop, ...], Roll]) -> DataFrame:
+    """Aggregate the target rows of several paths that start with the same fan-out.
+
+    The paths form a tree by their common hops. Each table of the tree is read once: its rows pick up
+    what was aggregated below them and are aggregated together with it. A row without any rows below
+    keeps nulls there, which no merge counts. Columns: ``__link`` and all states.
+    """
+    return _rolled_node(catalog, dict(rolls), 0, False)
+
+
+def _rolled_node(catalog: Catalog, rolls: Mapping[tuple[Hop, ...], Roll], depth: int, once: bool) -> DataFrame:
+    """The node that all paths share at ``depth``; ``once`` asks for one row per link even of an N:1 hop,
+    where a repeated key would multiply rows that others count as well."""
+    hop = next(iter(rolls))[depth]
+    own = next((roll for path, roll in rolls.items() if len(path) == depth + 1), Roll(()))
+    children: dict[Hop, dict[tuple[Hop, ...], Roll]] = {}
+    for path, roll in rolls.items():
+        if len(path) > depth + 1:
+            children.setdefault(path[depth + 1], {})[path] = roll
+    rows = hop_table(catalog, hop)
+    if own.where is not None and not children:
+        rows = rows.where(own.where)
+    rows = rows.select(
+        F.col(hop.right).alias("__link"), *(s.row.alias(s.name) for s in own.states),
+        *(F.col(child.left).alias(f"__at{i}") for i, child in enumerate(children)))
+    shared = bool(own.states) or len(children) > 1
+    for i, below in enumerate(children.values()):
+        side = _rolled_node(catalog, below, depth + 1, shared).withColumnRenamed("__link", f"__below{i}")
+        rows = rows.join(side, F.col(f"__at{i}") == F.col(f"__below{i}"), "left" if shared else "inner")
+    states = [s for roll in rolls.values() for s in roll.states]
+    if hop.many or once:
+        return rows.groupBy("__link").agg(*(s.merge(F.col(s.name)).alias(s.name) for s in states))
+    return rows.select("__link", *(s.name for s in states))

@@ -264,3 +264,40 @@ def test_deep_pages(retail):
     for limit, skip in ((10, 0), (10, 17), (None, 140), (50, 10 ** 7)):
         page = [r[0] for r in segments.members(retail, everyone, None, ["customer.key"], limit, skip).collect()]
         assert page == key[skip:][:limit]
+
+
+SIBLINGS = {
+    "urgent": attribute("order.priority", "eq", "1-URGENT"),
+    "three_orders": related("order", attribute("order.price", "gt", 100000), op="gte", n=3),
+    "returned": attribute("line.flag", "eq", "R"),
+    "many_lines": related("line", op="gte", n=40),
+    "brand": attribute("part.brand", "eq", "Brand#13"),
+    "supplier": attribute("supplier.balance", "gt", 0),
+    "spent": metric("total_spend", "gt", 500000, window_months=24),
+    "no_lines": related("line", attribute("line.flag", "eq", "R"), op="eq", n=0),
+}
+
+
+def test_sibling_paths_read_every_table_once(retail):
+    together = flags(retail, "customer", SIBLINGS)
+    got = {r["c_custkey"]: tuple(r[n] for n in SIBLINGS) for r in together.collect()}
+    for at, (name, rule) in enumerate(SIBLINGS.items()):
+        alone = {r["c_custkey"]: r[name] for r in flags(retail, "customer", {name: rule}).collect()}
+        assert {k: v[at] for k, v in got.items()} == alone, name
+        assert set(alone.values()) == {True, False} or name in ("no_lines", "returned", "supplier"), name
+    plan = together._jdf.queryExecution().optimizedPlan().toString()
+    for table, column in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("supplier", "s_suppkey")):
+        scans = [line for line in plan.splitlines() if "Relation [" in line and column in line]
+        assert len(scans) == 1, (table, len(scans))
+
+
+def test_a_repeated_row_below_an_own_row_counts_once_for_that_row(retail):
+    """A part that is there twice counts twice by paths to parts, but not for the lines that point to it."""
+    from dataclasses import replace
+    tables = dict(retail.tables)
+    tables["part"] = tables["part"].union(tables["part"])
+    twice = replace(retail, tables=tables)
+    rules = {"lines": related("line", op="gte", n=40), "brand": attribute("part.brand", "eq", "Brand#13")}
+    one, two = ({r["c_custkey"]: (r["lines"], r["brand"]) for r in flags(c, "customer", rules).collect()}
+                for c in (retail, twice))
+    assert one == two
