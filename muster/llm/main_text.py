@@ -40,13 +40,20 @@ _IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt",
             "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 _NAMED = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BAD = set("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo "
            "cookie cookies copyright disclaimer discussion disqus footer gdpr header legal login masthead menu modal nav "
            "navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted "
            "promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor "
            "sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
-_GOOD = set("article articlebody content entry main post story text".split())
+_GOOD = set("article articlebody body content entry main post story text".split())
+#: Bad in front of a name as well (related-posts); the others count where they are what is named (site-footer).
+_BAD_KIND = set("ad ads cookie gdpr newsletter promo promoted recommended related sponsor sponsored".split())
+#: Words that say where or how something is, not what: what is named comes before them.
+_PLACES = set("area bar block box bottom col column container group holder inner item items left links list outer panel "
+              "region right row section slot top unit wrap wrapper".split())
+#: What follows them is said of the thing, and is not the thing (has-sidebar, content-with-navigation).
+_SAID = set("has have is no not show with without".split())
 _CONTAINER = {"nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "dialog": -8.0, "menu": -8.0,
               "article": 3.0, "main": 3.0, "section": 0.3}
 _TAG = {"p": 1.0, "h1": 1.5, "h2": 0.8, "h3": 0.6, "h4": 0.5, "h5": 0.3, "h6": 0.3, "blockquote": 1.0, "pre": 1.0,
@@ -55,10 +62,13 @@ _BIAS, _OUTSIDE, _LINKED, _NEIGHBOUR, _SIBLING = -0.6, -2.0, -4.0, 0.3, 0.5
 
 
 class _Element:
-    __slots__ = ("tag", "score", "inside", "depth", "parent")
+    """``best`` and ``worst`` are the highest and the lowest score on the way down to it, 0 at least and at most."""
+    __slots__ = ("tag", "best", "worst", "inside", "depth", "parent")
 
     def __init__(self, tag: str, score: float, inside: bool, parent: "_Element | None"):
-        self.tag, self.score, self.inside, self.parent = tag, score, inside, parent
+        self.tag, self.inside, self.parent = tag, inside, parent
+        self.best = max(score, parent.best if parent else 0.0)
+        self.worst = min(score, parent.worst if parent else 0.0)
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -69,19 +79,32 @@ class _Block:
         self.text, self.linked, self.element = text, linked, element
 
 
+def name_score(names: str) -> float:
+    """What the class names and ids of an element say: each good or bad name weighs against the others."""
+    good = bad = 0
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        said = next((k for k, w in enumerate(words) if w in _SAID), len(words))
+        words = words[:said]
+        while len(words) > 1 and words[-1] in _PLACES:
+            words.pop()
+        if words and (words[-1] in _BAD or words[0] in _BAD_KIND):
+            bad += 1
+        elif words and words[-1] in _GOOD:
+            good += 1
+    return -7.0 if bad > good else 2.0 if good > bad else 0.0
+
+
 def _opened(tag: str, attributes: str, parent: _Element) -> _Element:
     score, inside = _CONTAINER.get(tag, 0.0), parent.inside or tag in ("article", "main")
     if tag == "header":
         score = -1.0 if parent.inside else -8.0
     if attributes:
-        names = set(_WORDS.findall(" ".join(_NAMED.findall(attributes)).lower())) if "=" in attributes else set()
-        if tag not in ("html", "body") and names & _BAD:
-            score -= 7.0
-        elif names & _GOOD:
-            score += 2.0
+        if "=" in attributes:
+            said = name_score(" ".join(n.strip("\"'") for n in _NAMED.findall(attributes)))
+            score += max(said, 0.0) if tag in ("html", "body") else said
         if _UNSEEN.search(attributes):
             score -= 9.0
-    # the best and the worst of the way down count, each once
     return _Element(tag, score, inside, parent)
 
 
@@ -155,13 +178,10 @@ def blocks_of(page: str) -> list[_Block]:
 
 def _evidence(block: _Block, framed: bool) -> float:
     """The classifier: positive for content."""
-    score, best, worst = _BIAS, 0.0, 0.0
-    element: _Element | None = block.element
-    while element:
-        best, worst = max(best, element.score), min(worst, element.score)
-        element = element.parent
-    score += best + worst + _TAG.get(block.element.tag, 0.0)
-    if framed and not block.element.inside:
+    element = block.element
+    # The best and the worst of the way down count, each once.
+    score = _BIAS + element.best + element.worst + _TAG.get(element.tag, 0.0)
+    if framed and not element.inside:
         score += _OUTSIDE
     score += min(2.0, block.text.count(" ") / 20)
     score += 0.5 if block.text[-1] in ".!?…:;\"'”»)" else 0.0

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -57,3 +58,29 @@ def test_rows(spark):
     assert found.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(tuple, found.collect()), key=repr) == [(1, "u", "Ünï of it all.", 14)] * 2 + [(None, None, "", 0)] * 2
     assert main_text.extract_text(pages.limit(0)).count() == 0
+
+
+PROSE = "<p>" + "This is a sentence of ordinary prose with several words, and it goes on for a while. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="content has-sidebar">', '<main class="with-sidebar">', '<article class="post no-comments">',
+    '<div class="blog-post tag-social">', '<div id="page" class="has-cookie-banner">',
+    '<div class="content-with-navigation"><article>', '<section class="share-price-news">'])
+def test_names_that_only_mention_boilerplate_lose_nothing(wrapper):
+    page = f'<html><body><nav><a href="x">Home</a></nav>{wrapper}{PROSE * 5}</div></body></html>'
+    assert main_text.extract(page).count("\n\n") == 4
+
+
+@pytest.mark.parametrize("name", [
+    "sidebar", "site-footer", "ad-slot", "related-posts", "comment-list", "cookie-notice", "nav-menu", "footer-links",
+    "sidebar-left", "mainNav", "entry-footer"])
+def test_names_of_boilerplate_go(name):
+    page = f'<html><body><article>{PROSE * 3}</article><div class="{name}"><p>Subscribe now or log in</p></div></body></html>'
+    assert "Subscribe" not in main_text.extract(page) and main_text.extract(page).count("\n\n") == 2
+
+
+def test_deep_nesting_takes_linear_time():
+    started = time.process_time()
+    main_text.extract("<div>x " * 50_000)
+    assert time.process_time() - started < 20
