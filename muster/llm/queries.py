@@ -36,7 +36,7 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
