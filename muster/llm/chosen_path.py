@@ -9,9 +9,9 @@ Nodes with few members are compared exhaustively; so are nodes of which all but
 be in one component, by comparing those few with all. Trees are independent, and all of them grow at the
 same time, level by level, as one table of nodes and members.
 
-Large nodes need more than branching where sets resemble one another. Their most central members (by
-how many members share their tokens) are compared with all members first. Members known to be in one
-component need no more comparing: a node of a single component is finished. So a large group of near
+Nodes of sets that resemble one another need more than branching. All members are compared with one of them
+first, and in large nodes with the most central ones (nearest to the majority of the members' token bits). Members known to be
+connected need no more comparing: a node of which all members are is finished. So a large group of near
 copies ends with the level at which its centre ties it together, without pairs being listed. Levels
 go on until no large node is left; nothing is capped.
 
@@ -39,6 +39,7 @@ from xxhash import xxh64_intdigest
 from muster.functions.ranking import aggregate_apart, top_per_group
 from muster.llm.common import row_keys
 from muster.operators.graph import connected_components
+from muster.operators.paths import both_directions
 from muster.session import cut_lineage
 
 SHINGLE = 4
@@ -46,10 +47,9 @@ LEAST = 80  # hundredths
 TOKENS = 64
 TREES = 5
 #: A node with fewer members outside its largest component is compared exhaustively.
-SMALL = 64
+SMALL = 256
 #: Central members of a larger node that are compared with all of it.
 CENTRES = 4
-CENTRE_TOKENS = 16
 #: Tokens differ in 0.1 of their bits at the least similarity: 6.4 of 64, with a deviation of 2.4. Pairs
 #: beyond 20 bits are not confirmed; of pairs to be linked less than one in 100,000 is.
 MOST_BITS = 20
@@ -153,6 +153,20 @@ def _components(links: DataFrame) -> DataFrame:
     return connected_components(ends, "uid", links).withColumnRenamed("node", "uid")
 
 
+def _gathered(links: DataFrame) -> DataFrame:
+    """``(uid, component)`` of the linked sets, good enough to go on with: sets of one label are connected, but a
+    component may have several labels. Each set takes the most linked set around it, and then that one's choice, so
+    all around a centre share its label."""
+    both = cut_lineage(both_directions(links))
+    degree = aggregate_apart(both, ["src"], F.count(F.lit(1)).alias("degree"))
+    known = degree.withColumnRenamed("src", "dst")
+    ranked = both.join(known, "dst").select("src", F.struct("degree", F.col("dst").alias("uid")).alias("place"))
+    own = degree.select("src", F.struct("degree", F.col("src").alias("uid")))
+    chosen = cut_lineage(ranked.union(own).groupBy(F.col("src").alias("uid")).agg(F.max("place")["uid"].alias("first")))
+    second = chosen.select(F.struct(F.col("uid").alias("first"), F.col("first").alias("component")).alias("__next"))
+    return chosen.join(second.select("__next.*"), "first").select("uid", "component")
+
+
 def branch(members: DataFrame, level: int) -> DataFrame:
     """Children ``(node, uid)`` of ``members(node, uid, sketch)``. A node's draws are the same for all its
     members, whichever task they are in."""
@@ -186,48 +200,48 @@ def _links(nodes: DataFrame, bare: DataFrame, trees: int) -> DataFrame:
     roots = F.explode(F.array(*[F.xxhash64(F.lit(t)) for t in range(trees)])).alias("node")
     filed = branch(nodes.select(roots, "uid", "sketch"), 1)
     facts = nodes.select("uid", "n", "bits", F.col("uid").alias("component"))
-    sets, links, tried, level = None, None, None, 1
+    live = _shared(filed)
+    # Most nodes hold copies of one text: comparing all with one of them ties these first.
+    first = aggregate_apart(live, ["node"], F.min("uid").alias("uid")).join(facts, "uid").alias("l")
+    members = live.join(facts, "uid").alias("r")
+    tried = cut_lineage(members.join(first, "node").where(_similar("l", "r")).select(*_pair("l", "r")).distinct())
+    sets = _full_sets(nodes.join(live.select("uid").distinct(), "uid").select("uid", "row"), bare)
+    links, level = cut_lineage(_confirmed(tried, sets)), 1
     while True:
-        few, large = _sorted_out(filed, facts)
+        labels = cut_lineage(_gathered(links))
+        facts = nodes.select("uid", "n", "bits").join(labels, "uid", "left").withColumn(
+            "component", F.coalesce("component", "uid"))
+        few, large = _sorted_out(live, facts)
         left, right = few.where("outside").alias("l"), few.alias("r")
         once = ~F.col("r.outside") | (F.col("l.uid") < F.col("r.uid"))
         pairs = left.join(right, "node").where(once & _similar("l", "r")).select(*_pair("l", "r"))
         more = not large.isEmpty()
         if more:
-            centres = _centres(large, nodes).join(facts, "uid").alias("l")
-            around = large.alias("r").join(centres, "node").where(_similar("l", "r")).select(*_pair("l", "r"))
-            pairs = pairs.union(around)
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["src", "dst"], "left_anti")
-        pairs = cut_lineage(pairs)
-        if sets is None:
-            # Members of later nodes are members of these.
-            wanted = pairs.select(F.explode(F.array("src", "dst")).alias("uid")).union(large.select("uid")).distinct()
-            sets = _full_sets(nodes.join(wanted, "uid").select("uid", "row"), bare)
-        found = cut_lineage(_confirmed(pairs, sets))
-        links = found if links is None else links.union(found)
+            around = large.alias("r").join(_centres(large).alias("l"), "node").where(_similar("l", "r"))
+            pairs = pairs.union(around.select(*_pair("l", "r")))
+        pairs = cut_lineage(pairs.distinct().join(tried, ["src", "dst"], "left_anti"))
+        links = links.union(cut_lineage(_confirmed(pairs, sets)))
         if not more:
             return links
-        tried = pairs if tried is None else tried.union(pairs)
-        labels = cut_lineage(_components(links))
-        facts = nodes.select("uid", "n", "bits").join(labels, "uid", "left").withColumn(
-            "component", F.coalesce("component", "uid"))
-        level += 1
-        # A node that has become one component is found out among its children, which are no more than it.
-        filed = branch(large.select("node", "uid").join(nodes.select("uid", "sketch"), "uid"), level)
+        tried, level = tried.union(pairs), level + 1
+        live = _shared(branch(large.select("node", "uid").join(nodes.select("uid", "sketch"), "uid"), level))
 
 
-def _sorted_out(filed: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _shared(filed: DataFrame) -> DataFrame:
+    """``(node, uid)`` of the nodes with more than one member."""
+    filed = cut_lineage(filed)
+    sizes = filed.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("node")
+    return cut_lineage(filed.join(sizes, "node"))
+
+
+def _sorted_out(live: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members ``(node, uid, n, bits, component, outside)`` of the nodes to be compared, and of the large ones.
 
     ``outside`` marks members that are not of the largest component of their node. A node is small if
     fewer than ``SMALL`` are: comparing these with all its members costs each less than ``SMALL`` steps.
     Nodes of one component are left out.
     """
-    filed = cut_lineage(filed)
-    sizes = filed.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("node")
-    live = cut_lineage(filed.join(sizes, "node").join(facts, "uid"))
+    live = live.join(facts, "uid")
     parts = aggregate_apart(live, ["node", "component"], F.count(F.lit(1)).alias("held"))
     mixed = parts.groupBy("node").agg(
         F.sum("held").alias("members"), F.count(F.lit(1)).alias("parts"),
@@ -238,14 +252,16 @@ def _sorted_out(filed: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFram
     return held.where(F.col("others") < SMALL), held.where(F.col("others") >= SMALL)
 
 
-def _centres(large: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, uid)`` of the members whose tokens most members of their node share."""
-    held = large.select("node", "uid").join(
-        nodes.select("uid", F.slice("sketch", 1, CENTRE_TOKENS).alias("sketch")), "uid")
-    each = cut_lineage(held.select("node", "uid", F.posexplode("sketch").alias("place", "token")))
-    shared = aggregate_apart(each, ["node", "place", "token"], F.count(F.lit(1)).alias("sharing"))
-    score = each.join(shared, ["node", "place", "token"]).groupBy("node", "uid").agg(F.sum("sharing").alias("score"))
-    return top_per_group(score, ["node"], [F.desc("score"), F.col("uid")], CENTRES).select("node", "uid")
+def _centres(large: DataFrame) -> DataFrame:
+    """The members whose bits are nearest to the majority of their node's: ``CENTRES`` of each node."""
+    share = [F.avg(F.expr(f"shiftrightunsigned(bits, {k}) & 1")) for k in range(64)]
+    ones = [F.when(s > 0.5, F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)) for k, s in enumerate(share)]
+    while len(ones) > 1:
+        ones = [a.bitwiseOR(b) for a, b in zip(ones[::2], ones[1::2])]
+    majority = aggregate_apart(large, ["node"], ones[0].alias("majority"))
+    off = F.bit_count(F.col("bits").bitwiseXOR(F.col("majority"))).alias("off")
+    return top_per_group(large.join(majority, "node").select("node", "uid", "n", "bits", "component", off),
+                         ["node"], [F.col("off"), F.col("uid")], CENTRES).drop("off", "rank")
 
 
 def _full_sets(wanted: DataFrame, bare: DataFrame) -> DataFrame:
