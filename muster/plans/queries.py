@@ -688,27 +688,28 @@ def features_written_back(spark, folder):
     return matching(wide, "customer", rule, c.as_of, fields={"household_size": "customer.household_size"})
 
 
-_found: dict[tuple[str, int], DataFrame | Features] = {}
+_found: dict[tuple[str, str, str], DataFrame | Features] = {}
 
 
-def buyer_communities(c: Catalog) -> DataFrame:
+def buyer_communities(spark: SparkSession, folder: str) -> DataFrame:
     """Communities of the purchase graph, written once per session for the queries that build on them."""
-    key = ("buyers", id(c))
+    key = ("buyers", spark.sparkContext.applicationId, folder)
     if key not in _found:
+        c = load(spark, folder)
         _found[key] = cut_lineage(communities(c.tables["customer"], "c_custkey", purchase_pairs(c)))
     return _found[key]
 
 
 @query
 def communities_of_buyers(spark, folder):
-    return buyer_communities(load(spark, folder))
+    return buyer_communities(spark, folder)
 
 
 @query
 def community_stats(spark, folder):
     """Per buyer: community, its size, and the churn rate of its other members."""
     c = load(spark, folder)
-    found = buyer_communities(c)
+    found = buyer_communities(spark, folder)
     churned = c.tables["customer"].select("c_custkey", (F.col("c_acctbal") < 0).alias("churned"))
     rows = graph.with_features(churned, "c_custkey", found, "node")
     return graph.leave_one_out_rate(rows, "community", "churned", "community_size",
@@ -760,7 +761,7 @@ def community_invariants(spark, folder):
     """What must hold of any partition of the buyers: one row of counts and checks."""
     c = load(spark, folder)
     pairs = cut_lineage(purchase_pairs(c))
-    found = buyer_communities(c)
+    found = buyer_communities(spark, folder)
     apart = graph.connected_components(c.tables["customer"], "c_custkey", pairs.select("src", "dst"))
     groups = found.groupBy("community").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
     places = groups.agg(F.count(F.lit(1)).alias("k"), F.max("community").alias("top"), F.sum("n").alias("members"))
@@ -774,11 +775,12 @@ def community_invariants(spark, folder):
         (F.col("unordered") == 0).alias("ordered"), (F.col("q") >= F.col("least") - 1e-9).alias("at_least_components"))
 
 
-def features(c: Catalog) -> Features:
+def features(spark: SparkSession, folder: str) -> Features:
     """The feature job over the graph of blocks, run once per session; in debt stands for churned."""
-    key = ("features", id(c))
+    key = ("features", spark.sparkContext.applicationId, folder)
     if key in _found:
         return _found[key]
+    c = load(spark, folder)
     lines = c.tables["customer"].withColumn("churned", F.col("c_acctbal") < 0)
     close = c.tables["account_links"].where(F.col("link_type").isin(*HOUSEHOLD_TYPES))
     _found[key] = refresh_features(lines, "c_custkey", "churned", block_calls(c), "weight", c.tables["customer"],
@@ -788,7 +790,7 @@ def features(c: Catalog) -> Features:
 
 @query
 def features_refreshed(spark, folder):
-    found = features(load(spark, folder))
+    found = features(spark, folder)
     return found.lines.join(found.customers, "c_custkey").select(
         "c_custkey", "influence_score", "community_id", "community_size", "community_churn_rate", "household_size")
 
@@ -797,7 +799,7 @@ def features_refreshed(spark, folder):
 def influencers_in_churning_communities(spark, folder):
     c = load(spark, folder)
     t = dict(c.tables)
-    t["customer"] = graph.with_features(t["customer"], "c_custkey", features(c).lines, "c_custkey")
+    t["customer"] = graph.with_features(t["customer"], "c_custkey", features(spark, folder).lines, "c_custkey")
     wide = retail.catalog(spark, folder, t, (
         Attribute("influence_score", "number", buckets=(50, 75, 90, 97)),
         Attribute("community_churn_rate", "number", buckets=(0.05, 0.1, 0.2, 0.3))))
@@ -884,7 +886,7 @@ def search_union(spark, folder):
 
 @query
 def feature_summary(spark, folder):
-    return features(load(spark, folder)).summary
+    return features(spark, folder).summary
 
 
 # ---- links and loads --------------------------------------------------------------------------
