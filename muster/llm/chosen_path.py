@@ -40,7 +40,7 @@ from muster.functions.ranking import aggregate_apart, top_per_group
 from muster.llm.common import row_keys
 from muster.operators.graph import connected_components
 from muster.operators.paths import both_directions
-from muster.session import cut_lineage
+from muster.session import cut_in_buckets, cut_lineage
 
 SHINGLE = 4
 LEAST = 80  # hundredths
@@ -190,9 +190,14 @@ def _similar(left: str, right: str) -> Column:
         F.col(f"{left}.component") != F.col(f"{right}.component"))
 
 
-def _pair(left: str, right: str) -> list[Column]:
-    ends = F.col(f"{left}.uid"), F.col(f"{right}.uid")
-    return [F.least(*ends).alias("src"), F.greatest(*ends).alias("dst")]
+def _pair(hub: str, member: str) -> list[Column]:
+    ends = F.col(f"{hub}.uid"), F.col(f"{member}.uid")
+    return [F.least(*ends).alias("src"), F.greatest(*ends).alias("dst"), ends[0].alias("hub")]
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """One row per pair, with one of the ends that others are compared with as its hub."""
+    return pairs.groupBy("src", "dst").agg(F.min("hub").alias("hub"))
 
 
 def _links(nodes: DataFrame, bare: DataFrame, trees: int) -> DataFrame:
@@ -204,7 +209,7 @@ def _links(nodes: DataFrame, bare: DataFrame, trees: int) -> DataFrame:
     # Most nodes hold copies of one text: comparing all with one of them ties these first.
     first = aggregate_apart(live, ["node"], F.min("uid").alias("uid")).join(facts, "uid").alias("l")
     members = live.join(facts, "uid").alias("r")
-    tried = cut_lineage(members.join(first, "node").where(_similar("l", "r")).select(*_pair("l", "r")).distinct())
+    tried = cut_lineage(_once(members.join(first, "node").where(_similar("l", "r")).select(*_pair("l", "r"))))
     sets = _full_sets(nodes.join(live.select("uid").distinct(), "uid").select("uid", "row"), bare)
     links, level = cut_lineage(_confirmed(tried, sets)), 1
     while True:
@@ -219,7 +224,7 @@ def _links(nodes: DataFrame, bare: DataFrame, trees: int) -> DataFrame:
         if more:
             around = large.alias("r").join(_centres(large).alias("l"), "node").where(_similar("l", "r"))
             pairs = pairs.union(around.select(*_pair("l", "r")))
-        pairs = cut_lineage(pairs.distinct().join(tried, ["src", "dst"], "left_anti"))
+        pairs = cut_lineage(_once(pairs).join(tried, ["src", "dst"], "left_anti"))
         links = links.union(cut_lineage(_confirmed(pairs, sets)))
         if not more:
             return links
@@ -265,16 +270,21 @@ def _centres(large: DataFrame) -> DataFrame:
 
 
 def _full_sets(wanted: DataFrame, bare: DataFrame) -> DataFrame:
-    """``(uid, set)`` of the wanted sets, made again from one row's text each."""
+    """``(uid, set)`` of the wanted sets, made again from one row's text each and dealt by ``uid``."""
     rows = wanted.select("uid", "row.*")
     texts = bare.select("__text", *row_keys(bare, ["id", "__text"])).join(rows, ["key_a", "key_b"])
     once = texts.select("uid", "__text").dropDuplicates(["uid"])  # rows may be repeated
-    return cut_lineage(once.mapInArrow(_sets, "uid long, set array<long>"))
+    parts = int(bare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_in_buckets(once.mapInArrow(_sets, "uid long, set array<long>"), "uid", parts)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("uid").alias("src"), F.col("set").alias("src_set"))
-    right = sets.select(F.col("uid").alias("dst"), F.col("set").alias("dst_set"))
-    both = F.size(F.array_intersect("src_set", "dst_set"))
-    either = F.size("src_set") + F.size("dst_set") - both
-    return pairs.join(left, "src").join(right, "dst").where(100 * both >= LEAST * either).select("src", "dst")
+    """The pairs that full sets link. A set is a member of few pairs, so these go to where the members' sets
+    lie; only the sets of hubs, which may have very many members, are moved, and once each."""
+    member = (F.col("src") + F.col("dst") - F.col("hub")).alias("uid")
+    with_member = pairs.select("src", "dst", "hub", member).join(sets, "uid").drop("uid")
+    hubs = sets.join(pairs.select(F.col("hub").alias("uid")).distinct(), "uid", "left_semi")
+    hubs = hubs.select(F.col("uid").alias("hub"), F.col("set").alias("hub_set"))
+    both = F.size(F.array_intersect("set", "hub_set"))
+    either = F.size("set") + F.size("hub_set") - both
+    return with_member.join(hubs, "hub").where(100 * both >= LEAST * either).select("src", "dst")
